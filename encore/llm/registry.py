@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from encore.llm import mixing
+from encore.llm import chat, mixing, warc
 
-QUERIES = {"op7_mixing": mixing.op7_mixing}
-ORACLES = {"op7_mixing": mixing.ORACLE}
+QUERIES = {"op7_mixing": mixing.op7_mixing, "op8_warc": warc.op8_warc, "op10_chat": chat.op10_chat}
+ORACLES = {"op7_mixing": mixing.ORACLE, "op8_warc": warc.ORACLE, "op10_chat": chat.ORACLE}
 
 
 def queries() -> dict:
