@@ -112,7 +112,7 @@ def records(stream, keep_blocks: bool = False) -> Iterator[Record]:
         framer = framer or _Framer(keep_blocks)
         try:
             framer.feed(inflater.decompress(data, CHUNK))
-            while inflater.unconsumed_tail:
+            while inflater.unconsumed_tail and not inflater.eof:
                 framer.feed(inflater.decompress(inflater.unconsumed_tail, CHUNK))
         except zlib.error as e:
             raise WarcError(f"damaged gzip member: {e}") from e
