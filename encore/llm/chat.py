@@ -91,20 +91,21 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     known = links.select(F.col("tree").alias("_t"), F.col("node").alias("_n"))
     same_tree = F.col("tree").eqNullSafe(F.col("_t"))
     # A jump over 2^i steps: where it leads (null: past the root), the steps to there or to
-    # past the root, and the scores on them.
+    # past the root, and the scores on them. Only nodes whose jump stays in the tree are
+    # joined again, so that a few deep trees don't make all others go round with them.
     first = links.join(known, same_tree & (F.col("parent") == F.col("_n")), "left")
-    first = written(first.select("tree", "node", F.col("_n").alias("to"), F.lit(1).cast("long").alias("steps"), F.col("score").alias("sum")))
-    jumps, total = [first], first
-    while total.where("to IS NOT NULL").limit(1).count():
+    last = written(first.select("tree", "node", F.col("_n").alias("to"), F.lit(1).cast("long").alias("steps"), F.col("score").alias("sum")))
+    total, jumps = last.where("to IS NULL"), [last.where("to IS NOT NULL")]
+    while jumps[-1].limit(1).count():
         if len(jumps) > MAX_DOUBLINGS:
             raise ValueError("the reply links hold a cycle")
-        last = jumps[-1] if total is first else total
-        there = last.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("to").alias("_to"), F.col("steps").alias("_steps"), F.col("sum").alias("_sum"))
-        total = last.join(there, same_tree & (F.col("to") == F.col("_n")), "left").select(
-            "tree", "node", F.col("_to").alias("to"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), (F.col("sum") + F.coalesce("_sum", F.lit(0.0))).alias("sum")
+        there = total.unionByName(jumps[-1]).select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("to").alias("_to"), F.col("steps").alias("_steps"), F.col("sum").alias("_sum"))
+        last = written(
+            jumps[-1].join(there, same_tree & (F.col("to") == F.col("_n"))).select("tree", "node", F.col("_to").alias("to"), (F.col("steps") + F.col("_steps")).alias("steps"), (F.col("sum") + F.col("_sum")).alias("sum"))
         )
-        total = written(total)
-        jumps.append(total)
+        total = total.unionByName(last.where("to IS NULL"))
+        jumps.append(last.where("to IS NOT NULL"))
+    jumps.pop()
     parents = links.where("parent IS NOT NULL").select(F.col("tree").alias("_t"), F.col("parent").alias("_n")).distinct()
     leaves = total.join(parents, same_tree & (F.col("node") == F.col("_n")), "left_anti")
     best = Window.partitionBy("tree").orderBy(F.desc("sum"), F.desc("steps"), F.asc("node"))
