@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from encore.llm import bpe_count, chat, mixing, pii, token_files, warc
+from encore.llm import bpe_count, chat, mixing, pii, quality, token_files, warc
 
-QUERIES = {"op2_token_files": token_files.op2_token_files, "op4_token_counts": bpe_count.op4_token_counts, "op7_mixing": mixing.op7_mixing, "op8_warc": warc.op8_warc, "op9_pii": pii.op9_pii, "op10_chat": chat.op10_chat}
+QUERIES = {"op6_quality": quality.op6_quality, "op2_token_files": token_files.op2_token_files, "op4_token_counts": bpe_count.op4_token_counts, "op7_mixing": mixing.op7_mixing, "op8_warc": warc.op8_warc, "op9_pii": pii.op9_pii, "op10_chat": chat.op10_chat}
 ORACLES = {"op7_mixing": mixing.ORACLE, "op8_warc": warc.ORACLE, "op10_chat": chat.ORACLE}
 
 
