@@ -4,13 +4,34 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the package to the Python workers of this application, once."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    if package.is_dir():
+        archive = Path(tempfile.mkdtemp(prefix="encore-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        context.addPyFile(str(archive.resolve()))
+    _shipped.add(context.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -20,6 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
     Where that is unset (tests, one machine) a temporary folder is made and kept as
     the checkpoint folder of the session.
     """
+    ship(spark)
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
