@@ -186,10 +186,30 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def cleaned(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that hold no item. Rows of null id are told by their text alone."""
-    bad = matches(docs.select(F.xxhash64("doc_id", "text").alias("_row"), "text"), benchmark, key="_row", **options).select(F.col("doc_id").alias("_row")).distinct()
-    return docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(bad, F.col("_key") == F.col("_row"), "left_anti").drop("_key")
+def cleaned(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs`` that hold no item. One pass; each block is a step of it."""
+    names, at = docs.columns, docs.columns.index(text)
+
+    def without(rows: DataFrame, block: list[tuple]) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        seeds: list[Seeds] = []
+
+        def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if not seeds:
+                seeds.append(Seeds(shared.value, min_match))
+            for whole in batches:
+                for k in range(0, whole.num_rows, ROWS):
+                    b = whole.slice(k, ROWS)
+                    clean = np.ones(b.num_rows, bool)
+                    clean[[i for i, _, _, c, m in seeds[0].matches([t or "" for t in b.column(at).to_pylist()]) if c >= coverage * m]] = False
+                    yield pa.RecordBatch.from_arrays([c.filter(pa.array(clean)) for c in b.columns], names)
+
+        return rows.mapInArrow(drop, docs.schema)
+
+    out = docs
+    for block in blocks(benchmark, item, item_text, block_chars):
+        out = without(out, block)
+    return out
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
