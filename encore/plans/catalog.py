@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from encore.plans.registry import Query, Registry
 
-ALL: list[Registry] = []
+from encore.plans import filters, joins, scans  # noqa: E402
+
+ALL: list[Registry] = [scans.reg, filters.reg, joins.reg]
 
 
 def queries() -> dict[str, Query]:
