@@ -120,7 +120,7 @@ def outer_merge(spark: SparkSession, d: str) -> DataFrame:
 
 @q(
     "rank_diff",
-    f"WITH r AS (SELECT year(played) AS y, artist, COUNT(*) AS n, RANK() OVER (PARTITION BY year(played) ORDER BY COUNT(*) DESC) AS rank FROM {OCC} WHERE year(played) IN (1997, 1998) GROUP BY ALL) SELECT a.artist, a.rank, b.rank AS before, b.rank - a.rank AS delta FROM (SELECT * FROM r WHERE y = 1998) a LEFT JOIN (SELECT * FROM r WHERE y = 1997) b USING (artist)",
+    f"WITH r AS (SELECT year(played) AS y, artist, COUNT(*) AS n, RANK() OVER (PARTITION BY year(played) ORDER BY COUNT(*) DESC) AS rank FROM {OCC} WHERE year(played) IN (1997, 1998) GROUP BY 1, 2) SELECT a.artist, a.rank, b.rank AS before, b.rank - a.rank AS delta FROM (SELECT * FROM r WHERE y = 1998) a LEFT JOIN (SELECT * FROM r WHERE y = 1997) b USING (artist)",
 )
 def rank_diff(spark: SparkSession, d: str) -> DataFrame:
     """Ranks of two versions, side by side."""
