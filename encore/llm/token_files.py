@@ -24,8 +24,10 @@ an empty table gives no shards and no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import sys
 import zlib
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -57,6 +59,25 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(0x100 + i) for i, b in enumerate(others)}
 
 
+class _Words(dict):
+    """Ids of words, as bytes, each with ``lead`` before it; None: not a word of its own."""
+
+    def __init__(self, encoder: Encoder, lead: str):
+        self.encoder, self.lead = encoder, lead
+
+    def __missing__(self, word: str) -> bytes | None:
+        if not word or word[0].isspace() or word[-1].isspace():
+            return None
+        ids = self.encoder.simple(word, self.lead)
+        if ids is None:
+            ids = self.encoder.whole([self.lead + word])[0]
+        if len(word) <= CACHE_CHARS:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Encoder:
     """Ids of texts as little-endian bytes."""
 
@@ -64,26 +85,32 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.width = array(self.code).itemsize
         self.type = f"<u{self.width}"
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.space = self.letters[ord(" ")]
         #: Ids of pretokens: letters with or without the space before them, or signs.
         self.pretokens: dict[str, bytes] = {}
-        #: Ids of words with the space before them; None: not a word of its own.
-        self.words: dict[str, bytes | None] = {}
-        self.heads: dict[str, bytes | None] = {}
+        self.words, self.heads = _Words(self, " "), _Words(self, "")
 
-    def bytes_of(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def bytes_of(self, ids: list[int]) -> bytes:
+        out = array(self.code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [self.bytes_of(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def pretoken(self, text: str) -> bytes:
         ids = self.pretokens.get(text)
         if ids is None:
             if len(self.pretokens) > CACHE_ENTRIES:
                 self.pretokens.clear()
-            mapped = text.encode().decode("latin-1").translate(self.letters)
-            ids = self.pretokens[text] = np.array([t.id for t in self.model.tokenize(mapped)], self.type).tobytes()
+            mapped = text.encode().decode("latin-1").translate(self.letters) if not text.isascii() or "\n" in text else text.replace(" ", self.space)
+            ids = self.pretokens[text] = self.bytes_of([t.id for t in self.model.tokenize(mapped)])
         return ids
 
     def simple(self, word: str, lead: str) -> bytes | None:
@@ -91,48 +118,30 @@ class Encoder:
         out = []
         for line in word.split("\n"):
             letters = line.rstrip(SIGNS)
-            if not letters.isalpha() or max(letters) >= LETTERS_END:
+            if not letters.isalpha() or not letters.isascii() and max(letters) >= LETTERS_END:
                 return None
-            out.append(self.pretoken(lead + letters))
-            if len(letters) < len(line):
-                out[-1] += self.pretoken(line[len(letters) :])
+            ids = self.pretoken(lead + letters)
+            out.append(ids if len(letters) == len(line) else ids + self.pretoken(line[len(letters) :]))
             lead = ""
         return out[0] if len(out) == 1 else self.pretoken("\n").join(out)
 
-    def learn(self, cache: dict, words: Iterable[str], lead: str) -> None:
-        if len(cache) > CACHE_ENTRIES:
-            cache.clear()
-        plain = []
-        for w in words:
-            if not w or w[0].isspace() or w[-1].isspace():
-                cache[w] = None
-            elif (ids := self.simple(w, lead)) is not None:
-                cache[w] = ids
-            else:
-                plain.append(w)
-        cache.update(zip(plain, self.bytes_of([lead + w for w in plain]), strict=True))
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if any(s in t for s in self.special) else t.split(" ") for t in texts]
-        head, rest = {p[0] for p in split if p}, {w for p in split if p for w in p[1:]}
-        self.learn(self.heads, head - self.heads.keys(), "")
-        # learn() may empty the cache: what this call needs is asked for after that.
-        if len(self.words) > CACHE_ENTRIES:
-            self.words.clear()
-        self.learn(self.words, rest - self.words.keys(), " ")
-        self.learn(self.heads, head - self.heads.keys(), "")
         out: list[bytes | None] = []
-        for p in split:
-            try:
-                out.append(None if p is None else self.heads[p[0]] + b"".join(map(self.words.__getitem__, p[1:])))
-            except TypeError:
-                out.append(None)
+        word, head = self.words.__getitem__, self.heads.__getitem__
+        for t in texts:
+            ids = None
+            if not any(s in t for s in self.special):
+                words = iter(t.split(" "))
+                first = head(next(words))
+                if first is not None:
+                    try:
+                        ids = first + b"".join(map(word, words))
+                    except TypeError:  # white space beside a space
+                        pass
+            out.append(ids)
         left = [i for i, x in enumerate(out) if x is None]
-        for i, x in zip(left, self.bytes_of([texts[i] for i in left]), strict=True):
+        for i, x in zip(left, self.whole([texts[i] for i in left]), strict=True):
             out[i] = x
-        for cache in (self.heads, self.words):
-            for w in [w for w in (head | rest) if len(w) > CACHE_CHARS]:
-                cache.pop(w, None)
         return out
 
 
