@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from encore.plans.registry import Query, Registry
 
-from encore.plans import aggregates, filters, joins, scans  # noqa: E402
+from encore.plans import aggregates, filters, joins, scans, windows  # noqa: E402
 
-ALL: list[Registry] = [scans.reg, filters.reg, joins.reg, aggregates.reg]
+ALL: list[Registry] = [scans.reg, filters.reg, joins.reg, aggregates.reg, windows.reg]
 
 
 def queries() -> dict[str, Query]:
