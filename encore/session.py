@@ -21,10 +21,15 @@ def session(name: str = "encore", **conf: str) -> SparkSession:
     return SparkSession.builder.appName(name).config(map=DEFAULTS | conf).getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints, or a temporary one where it names none."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/encore-tables"
+    return base.rstrip("/")
+
+
 def materialized(df: DataFrame) -> DataFrame:
     """``df`` written to the cluster's checkpoint folder and read again, which ends its lineage."""
     spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/encore-tables"
-    path = f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
