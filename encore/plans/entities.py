@@ -82,14 +82,14 @@ def tombstone_hide(spark: SparkSession, d: str) -> DataFrame:
     return last.where("last <> 'error'").select("user_id")
 
 
-@q("exact_video_dedupe", f"SELECT COUNT(*) AS n FROM (SELECT DISTINCT video, song, seconds, artist FROM {OCC})")
-def exact_video_dedupe(spark: SparkSession, d: str) -> DataFrame:
+@q("exact_dedupe", f"SELECT COUNT(*) AS n FROM (SELECT DISTINCT video, song, seconds, artist FROM {OCC})")
+def exact_dedupe(spark: SparkSession, d: str) -> DataFrame:
     """H10."""
     return occurrences(spark, d).dropDuplicates(["video", "song", "seconds", "artist"]).agg(count().alias("n"))
 
 
-@q("near_dedupe")
-def near_dedupe(spark: SparkSession, d: str) -> DataFrame:
+@q("near_dedupe_3s")
+def near_dedupe_3s(spark: SparkSession, d: str) -> DataFrame:
     """Rows of one song within three seconds of the first are one."""
     return greedy_clusters(occurrences(spark, d).select("video", "song", "seconds"), ["video", "song"], "seconds", 3).select("video", "song", "leader").distinct()
 
