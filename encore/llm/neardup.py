@@ -11,10 +11,12 @@ they share no band with probability below 5e-5, and less above.
 Links are exact: similarities come from the multisets themselves.
 
 1. Rows of equal text are one document from here on, that of the smallest id.
-2. In every bucket of a band, each document is compared to the one of the smallest id. First
-   one such pair for each document, then the others that are not yet in one class.
-3. Buckets that still hold several classes are compared in full, in blocks of ``BLOCK``
-   rows that are dealt out over all tasks. Only links that join classes are kept.
+2. In every bucket of a band, each document is compared to the one of the smallest id and to
+   one drawn by hash. First one such pair for each document, then the others that are not
+   yet in one class. This makes one class of nearly all of a large group of near copies.
+3. Buckets that still hold several classes are compared in full, but for pairs within one
+   class, in blocks of ``BLOCK`` rows that are dealt out over all tasks. Only links that
+   join classes are kept.
 4. After each step classes are the connected components of all links, by large-star and
    small-star steps. Nothing of this comes to the driver but counts.
 
@@ -40,7 +42,7 @@ from encore.llm.shingles import shingles
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
-BLOCK = 32
+BLOCK = 256
 BATCH = 256
 
 
@@ -207,35 +209,78 @@ def across(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return out.where(F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).select("a", "b")
 
 
+class _Block:
+    """The rows of one block of a bucket, against which others are compared one at a time."""
+
+    def __init__(self, similarity: float):
+        self.similarity = similarity
+        self.ids: list[int] = []
+        self.classes: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.joined: dict[int, int] = {}
+        self.flat = None
+
+    def top(self, c: int) -> int:
+        while (up := self.joined.setdefault(c, c)) != c:
+            c = self.joined[c] = self.joined[up]
+        return c
+
+    def add(self, id_: int, class_: int, cells_: np.ndarray) -> None:
+        self.ids.append(id_), self.classes.append(class_), self.sets.append(cells_)
+
+    def links(self, id_: int, class_: int, cells_: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Links of a row to rows of the block; none within a class, one for each two classes."""
+        if not self.ids or not len(cells_):
+            return
+        if self.flat is None:
+            self.flat = np.concatenate(self.sets)
+            self.sizes = np.array([len(x) for x in self.sets])
+            self.starts = np.cumsum(self.sizes) - self.sizes
+        place = np.searchsorted(cells_, self.flat)
+        place[place == len(cells_)] = 0
+        common = np.add.reduceat(cells_[place] == self.flat, self.starts, dtype=np.int64)
+        near = common >= self.similarity * (self.sizes + len(cells_) - common)
+        for i in np.flatnonzero(near).tolist():
+            if (x := self.top(self.classes[i])) != (y := self.top(class_)):
+                self.joined[x] = y
+                yield id_, self.ids[i]
+
+
 def block_links(buckets: DataFrame, classes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links between classes within buckets (bucket, doc_id) that hold several."""
+    """Links between classes within buckets (bucket, doc_id) that hold several.
+
+    The rows of a bucket are dealt to blocks. Of two rows of different classes one at least
+    is not of the bucket's largest class: such rows visit all blocks of their bucket, the
+    others none. A block is held in memory, its visitors pass by.
+    """
     member = buckets.join(classes, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", F.coalesce("class", "doc_id").alias("class"))
-    mixed = member.groupBy("bucket").agg(F.min("class").alias("_low"), F.max("class").alias("_high"), F.count(F.lit(1)).alias("_n")).where("_low < _high").select(F.col("bucket").alias("_bucket"), F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
-    member = member.join(mixed, F.col("bucket") == F.col("_bucket")).withColumn("_mine", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
-    dealt = member.select("bucket", "doc_id", "class", "_mine", other).select("bucket", "doc_id", "class", F.least("_mine", "_other").alias("low"), F.greatest("_mine", "_other").alias("high"))
-    dealt = dealt.join(sets, "doc_id").select("bucket", "low", "high", "doc_id", "class", "cells")
-
-    def compare(table_: pa.Table) -> pa.Table:
-        ids, owner = table_.column("doc_id").to_pylist(), table_.column("class").to_pylist()
-        rows = [np.frombuffer(x.as_buffer(), "<u4") for c in table_.column("cells").chunks for x in c]
-        joined = {c: c for c in owner}
-
-        def top(c: int) -> int:
-            while joined[c] != c:
-                c = joined[c] = joined[joined[c]]
-            return c
-
-        out: list[tuple[int, int]] = []
-        for i in range(len(ids)):
-            for j in range(i):
-                x, y = len(rows[i]), len(rows[j])
-                if top(owner[i]) != top(owner[j]) and min(x, y) >= similarity * max(x, y) and weighted_similarity(rows[i], rows[j]) >= similarity:
-                    joined[top(owner[i])] = top(owner[j])
-                    out.append((ids[i], ids[j]))
-        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
-
-    return dealt.groupBy("bucket", "low", "high").applyInArrow(compare, "a long, b long")
+    by_class = member.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"))
+    mixed = by_class.groupBy("bucket").agg(F.max_by("class", F.struct("n", "class")).alias("_major"), F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_classes")).where("_classes > 1")
+    mixed = mixed.select(F.col("bucket").alias("_bucket"), "_major", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
+    member = member.join(mixed, F.col("bucket") == F.col("_bucket"))
+    at = lambda block, visits: F.struct(block.alias("block"), F.lit(visits).alias("visits"))
+    home = F.array(at(F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int"), False))
+    places = F.when(F.col("class") == F.col("_major"), home).otherwise(F.concat(home, F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda i: at(i, True))))
+    dealt = member.select("bucket", "doc_id", "class", F.explode(places).alias("p")).select("bucket", "doc_id", "class", "p.block", "p.visits")
+    dealt = dealt.join(sets, "doc_id").select("bucket", "block", "visits", "doc_id", "class", "cells")
+    dealt = dealt.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "visits")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, block = None, _Block(similarity)
+        for b in batches:
+            out: list[tuple[int, int]] = []
+            rows = zip(*(b.column(c).to_pylist() for c in ("bucket", "block", "visits", "doc_id", "class")), b.column("cells"), strict=True)
+            for bucket, number, visits, id_, class_, cells_ in rows:
+                if (bucket, number) != current:
+                    current, block = (bucket, number), _Block(similarity)
+                own = np.frombuffer(cells_.as_buffer(), "<u4")
+                if visits:
+                    out += block.links(id_, class_, own)
+                else:
+                    block.add(id_, class_, own)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
+    return dealt.mapInArrow(compare, "a long, b long")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -250,12 +295,14 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     single = signs.join(copies.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id") == F.col("_id"), "left_anti")
     # 2. Buckets.
     buckets = single.select("doc_id", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("_last")).where("rep < _last").select(F.col("bucket").alias("_bucket"), "rep")
-    buckets = written(buckets.join(shared, F.col("bucket") == F.col("_bucket")).select("bucket", "doc_id", "rep").distinct())
+    any_ = F.min(F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("id")))
+    shared = buckets.groupBy("bucket").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("_last"), any_.alias("_any")).where("rep < _last").select(F.col("bucket").alias("_bucket"), "rep", F.col("_any.id").alias("other"))
+    buckets = written(buckets.join(shared, F.col("bucket") == F.col("_bucket")).select("bucket", "doc_id", "rep", "other").distinct())
     involved = buckets.select(F.col("doc_id").alias("_id")).distinct()
     sets = written(cell_sets(docs.join(involved, F.col("doc_id") == F.col("_id"), "left_semi")), "none")
-    candidates = written(buckets.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct())
-    nearest = candidates.groupBy("a").agg(F.min("b").alias("b"))
+    pair = F.explode(F.array("rep", "other")).alias("b")
+    candidates = written(buckets.select(F.col("doc_id").alias("a"), pair).where("a <> b").distinct())
+    nearest = candidates.where("b < a").groupBy("a").agg(F.min("b").alias("b"))
     links = written(verified(nearest, sets, similarity))
     known = components(links)
     others = candidates.join(nearest, ["a", "b"], "left_anti")
