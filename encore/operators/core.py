@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from encore.session import materialized
+
+#: Up to so many rows are numbered by one task.
+ROWS_IN_ONE_TASK = 1_000_000
+
 
 def best_per_key(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     """The first row of each key in the given order."""
@@ -48,15 +53,31 @@ def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, tie: str, quant
     return ranked.withColumn("_w", wanted).where("_rn = _w.at").select(*keys, F.col("_w.p").alias("p"), value)
 
 
+def ordinal(df: DataFrame, order: Sequence[Column], name: str = "rank", one_task: int = ROWS_IN_ONE_TASK) -> DataFrame:
+    """``df`` with the place of each row in a global order, from 1.
+
+    A window without keys sends all rows to one task. Beyond ``one_task`` rows, the rows are
+    sorted in ranges instead; a row's place is that in its range, which its generated id
+    holds, and the number of rows in the ranges before, which is one row per range.
+    """
+    df = materialized(df)
+    if df.limit(one_task + 1).count() <= one_task:
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+    ranges = materialized(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    range_ = F.shiftright("_id", 33)
+    starts = ranges.groupBy(range_.alias("_range")).agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.col("_id").bitwiseAND((1 << 33) - 1) + 1
+    return ranges.join(starts, range_ == F.col("_range")).withColumn(name, F.col("_start") + place).drop("_id", "_range", "_start")
+
+
 def ranking(df: DataFrame, keys: Sequence[str], video: str, when: str) -> DataFrame:
     """Ordinal ranking: occurrences, distinct videos, earliest occurrence, then the keys.
 
-    The counts are partial before the exchange. The rank numbers a global order; it goes
-    over the ranked entities, not over their occurrences.
+    The counts are partial before the exchange; only entities are sorted, not occurrences.
     """
     agg = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("occurrences"), F.countDistinct(video).alias("videos"), F.min(when).alias("first_seen"))
-    order = Window.orderBy(F.desc("occurrences"), F.desc("videos"), F.asc("first_seen"), *(F.asc(k) for k in keys))
-    return agg.withColumn("rank", F.row_number().over(order).cast("bigint"))
+    return ordinal(agg, [F.desc("occurrences"), F.desc("videos"), F.asc("first_seen"), *(F.asc(k) for k in keys)])
 
 
 def connected_components(edges: DataFrame, materialize) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from encore.functions import parsing
@@ -301,8 +301,9 @@ def candidate_merge(spark: SparkSession, d: str) -> DataFrame:
 def ntile_shards(spark: SparkSession, d: str) -> DataFrame:
     """Work by even ranges, by remainder and by digest."""
     o = table(spark, d, "orders").select("o_orderkey")
-    place = F.row_number().over(Window.orderBy("o_orderkey")) - 1
-    return o.select("o_orderkey", F.floor(place * 8 / F.count(F.lit(1)).over(Window.partitionBy())).cast("bigint").alias("range_shard"), (F.col("o_orderkey") % 8).alias("mod_shard"), (F.conv(F.substring(F.sha2(F.col("o_orderkey").cast("string"), 256), 1, 8), 16, 10).cast("bigint") % 8).alias("hash_shard"))
+    total = o.count()
+    o = core.ordinal(o, [F.asc("o_orderkey")], "place")
+    return o.select("o_orderkey", F.floor((F.col("place") - 1) * 8 / total).cast("bigint").alias("range_shard"), (F.col("o_orderkey") % 8).alias("mod_shard"), (F.conv(F.substring(F.sha2(F.col("o_orderkey").cast("string"), 256), 1, 8), 16, 10).cast("bigint") % 8).alias("hash_shard"))
 
 
 @q("priority_first_wins", "SELECT o_orderkey, MIN_BY(s, p) AS s, COUNT(DISTINCT s) > 1 AS conflict FROM (SELECT o_orderkey, o_orderstatus AS s, 0 AS p FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 'F', 1 FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, o_orderstatus, 2 FROM orders) GROUP BY 1")

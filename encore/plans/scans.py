@@ -158,8 +158,7 @@ def import_reconcile(spark: SparkSession, d: str) -> DataFrame:
 def paged_ranking(spark: SparkSession, d: str) -> DataFrame:
     """Pages of 50 rows in ranking order."""
     n = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand", "p_name").agg(count().alias("n"))
-    ranked = n.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "p_brand", "p_name")).cast("bigint"))
-    return ranked.withColumn("page", F.ceil(F.col("rank") / 50).cast("bigint"))
+    return core.ordinal(n, [F.desc("n"), F.asc("p_brand"), F.asc("p_name")]).withColumn("page", F.ceil(F.col("rank") / 50).cast("bigint"))
 
 
 @q(
@@ -228,7 +227,7 @@ def month_partition_counts(spark: SparkSession, d: str) -> DataFrame:
 def chunk_completeness(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of 200 ranks; only the last may be short."""
     n = table(spark, d, "lineitem").groupBy("l_partkey").agg(count().alias("n"))
-    ranked = n.select(F.row_number().over(Window.orderBy(F.desc("n"), "l_partkey")).cast("bigint").alias("rank")).withColumn("chunk", F.floor((F.col("rank") - 1) / 200).cast("bigint"))
+    ranked = core.ordinal(n, [F.desc("n"), F.asc("l_partkey")]).select("rank").withColumn("chunk", F.floor((F.col("rank") - 1) / 200).cast("bigint"))
     chunks = ranked.groupBy("chunk").agg(count().alias("n"), F.min("rank").alias("first"), F.max("rank").alias("last"))
     return chunks.withColumn("whole", (F.col("n") == 200) | (F.col("chunk") == F.max("chunk").over(Window.partitionBy())))
 

@@ -25,7 +25,7 @@ SONGS = f"(SELECT song, COUNT(*) AS n FROM {OCC} GROUP BY song)"
 @q("rank_row_number", f"SELECT song, n, ROW_NUMBER() OVER (ORDER BY n DESC, song)::BIGINT AS rank FROM {SONGS}")
 def rank_row_number(spark: SparkSession, d: str) -> DataFrame:
     """F01."""
-    return songs(spark, d).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "song")).cast("bigint"))
+    return core.ordinal(songs(spark, d), [F.desc("n"), F.asc("song")])
 
 
 @q("rank_competition", f"SELECT song, n, RANK() OVER (ORDER BY n DESC)::BIGINT AS rank FROM {SONGS}")
@@ -173,8 +173,8 @@ def page_slice(spark: SparkSession, d: str) -> DataFrame:
 @q("az_index", "SELECT p_partkey, ROW_NUMBER() OVER (ORDER BY regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g'), p_partkey)::BIGINT AS ordinal FROM part")
 def az_index(spark: SparkSession, d: str) -> DataFrame:
     """A to Z, by letters and digits alone."""
-    order = Window.orderBy(tx.letters_digits(F.col("p_name")), "p_partkey")
-    return table(spark, d, "part").select("p_partkey", F.row_number().over(order).cast("bigint").alias("ordinal"))
+    keyed = table(spark, d, "part").select("p_partkey", tx.letters_digits(F.col("p_name")).alias("key"))
+    return core.ordinal(keyed, [F.asc("key"), F.asc("p_partkey")], "ordinal").drop("key")
 
 
 @q("az_buckets", "SELECT CASE WHEN regexp_matches(upper(text), '^[A-Z]') THEN upper(left(text, 1)) WHEN regexp_matches(text, '^[0-9]') THEN '0-9' ELSE 'other' END AS bucket, COUNT(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1")

@@ -93,3 +93,10 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).limit(1).count() == 1
+
+
+def test_ordinal_over_ranges(spark):
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"))
+    for one_task in (10, 5000):
+        got = core.ordinal(df.repartition(5), [F.desc("k")], one_task=one_task).collect()
+        assert sorted((r.k, r["rank"]) for r in got) == [(k, 1000 - k) for k in range(1000)]
