@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from encore.session import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -20,7 +23,13 @@ class Registry:
         def add(query: Query) -> Query:
             if key in self.queries:
                 raise ValueError(f"duplicate query key {key}")
-            self.queries[key] = query
+
+            @wraps(query)
+            def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+                ship(spark)
+                return query(spark, sf_dir)
+
+            self.queries[key] = run
             if oracle is not None:
                 self.oracles[key] = oracle
             return query
