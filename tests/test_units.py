@@ -1,13 +1,15 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from encore.functions import kana, parsing
 from encore.functions import text as tx
-from encore.operators import core, search
+from encore.operators import core, revisions, search
 from encore.operators.cluster import greedy_clusters
 from encore.operators.rankings import rankings
 from encore.session import materialized
-from encore.sources import html
+from encore.sources import cursor, html
 from encore.sources.shards import packed
 
 
@@ -100,3 +102,35 @@ def test_ordinal_over_ranges(spark):
     for one_task in (10, 5000):
         got = core.ordinal(df.repartition(5), [F.desc("k")], one_task=one_task).collect()
         assert sorted((r.k, r["rank"]) for r in got) == [(k, 1000 - k) for k in range(1000)]
+
+
+def test_cursor_walks():
+    row = [{"id": i} for i in range(9)]
+    pages = {"a": {"rows": row[:3], "next": "b"}, "b": {"rows": row[3:6], "next": None}}
+    assert cursor.follow(pages.get, "a").coverage == "complete"
+    assert cursor.follow(pages.get, "a", expected=60).coverage == "count-mismatch"
+    assert cursor.follow(pages.get, "x").coverage == "partial"
+    assert cursor.follow({"a": {"rows": row[:1], "next": "b"}, "b": {"rows": row[1:2], "next": "a"}}.get, "a").coverage == "cursor-loop"
+    assert cursor.follow({"a": {"rows": row[:1], "next": "b"}, "b": {"rows": row[:1], "next": "c"}}.get, "a").coverage == "no-progress"
+
+
+def test_cursor_source(spark):
+    spark.dataSource.register(cursor.CursorSource)
+    pages = {"a": {"rows": [{"id": 1}], "next": "b"}, "b": {"rows": [{"id": 2}], "next": None}, "c": {"rows": [{"id": 3}], "next": "gone"}}
+    got = spark.read.format("cursor_pages").option("starts", "a,c").option("pages", json.dumps(pages)).load()
+    assert sorted(map(tuple, got.collect())) == [("a", '{"id": 1}', "complete"), ("a", '{"id": 2}', "complete"), ("c", '{"id": 3}', "partial")]
+
+
+def test_activation(tmp_path):
+    for name, parent in (("r1", None), ("r2", "r1"), ("r3", "r1")):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"digest": f"d-{name}", "parent": parent}))
+    revisions.activate(tmp_path, "r1", None, "d-r1")
+    revisions.activate(tmp_path, "r2", "r1", "d-r2")
+    for bad in (("r3", "r1", "d-r3"), ("r3", "r2", "other")):
+        with pytest.raises(revisions.Conflict):
+            revisions.activate(tmp_path, *bad)
+    assert revisions.active(tmp_path)["revision"] == "r2" and revisions.lineage(tmp_path, "r2") == ["r2", "r1"]
+    revisions.activate(tmp_path, "r1", "r2", "d-r1")  # a rollback
+    (tmp_path / "r1.json").write_text(json.dumps({"digest": "d", "parent": "r2"}))
+    with pytest.raises(revisions.Conflict):
+        revisions.lineage(tmp_path, "r1")
