@@ -62,7 +62,8 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, budget: float =
     left = F.sum("source_size").over(everything) * F.lit(budget) - F.coalesce(F.sum("limit").over(before), F.lit(0.0))
     levels = weighed.withColumn("level", left / F.sum("weight").over(after))
     full = F.col("limit") <= F.col("level") * F.col("weight")
-    open_level = F.min(F.when(~full, F.col("level"))).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    # Levels fall from the first open source on: it alone has all full ones before it.
+    open_level = F.max(F.when(~full, F.col("level"))).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return levels.select("source", "source_size", F.when(full, F.col("limit")).otherwise(open_level * F.col("weight")).alias("target"))
 
 
@@ -109,7 +110,7 @@ WITH sized AS (
   FROM weighed
 ), goal AS (
   SELECT source, source_size,
-    CASE WHEN lim <= level * weight THEN lim ELSE (MIN(CASE WHEN lim > level * weight THEN level END) OVER ()) * weight END AS target
+    CASE WHEN lim <= level * weight THEN lim ELSE (MAX(CASE WHEN lim > level * weight THEN level END) OVER ()) * weight END AS target
   FROM levels
 ), rated AS (
   SELECT s.doc_id, s.size, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0 END AS rate

@@ -33,11 +33,28 @@ def test_mixing_edges(spark):
     assert mixing.emitted(docs).columns == docs.columns
 
 
-def test_mixing_targets(spark):
-    sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000)], "source string, size long")
-    got = {r.source: r.target for r in mixing.targets(sizes).collect()}
-    assert got["a"] == 20.0 and abs(sum(got.values()) - 1.5 * 2010) < 1e-6
-    assert abs(got["b"] / got["c"] - 2.0) < 1e-9 or got["b"] == 2000.0
+def water_filled(sizes, weights=mixing.WEIGHTS, budget=mixing.BUDGET, most=mixing.MAX_REPEAT):
+    """By rounds: share what is left by weight, cut at the limits, share again."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    left, target, open_ = budget * sum(sizes.values()), {}, set(names)
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if sizes[s] * most <= level * weight[s]}
+        if not full:
+            return target | {s: level * weight[s] for s in open_}
+        target |= {s: sizes[s] * most for s in full}
+        left -= sum(sizes[s] * most for s in full)
+        open_ -= full
+    return target
+
+
+@pytest.mark.parametrize("sizes", [{"a": 10, "b": 1000, "c": 1000}, {"a": 5, "b": 5, "c": 5, "d": 5, None: 5}, {"x": 7}, {"a": 0, "b": 3}, {"a": 1, "b": 2, "c": 900, "d": 40, "e": 3000, "f": 1, None: 77}])
+def test_mixing_targets(spark, sizes):
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).collect()}
+    want = water_filled(sizes)
+    assert got == {s: pytest.approx(want[s]) for s in sizes}
+    assert sum(got.values()) == pytest.approx(1.5 * sum(sizes.values()))
 
 
 def test_mixing_many_sources(spark, monkeypatch):
