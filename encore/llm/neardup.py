@@ -287,19 +287,21 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     """doc_id and class_id of every row of ``docs``; class_id is the smallest id of the class."""
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     signs = written(signed(docs.where("doc_id IS NOT NULL"), bands, rows))
+    # Ids that texts and signatures are joined to grow with the documents. Those joins are
+    # merge joins at every size: the plan of a small input is that of a large one.
     # 1. Copies.
     first = signs.groupBy("content").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
     again = first.where("n > 1").select(F.col("content").alias("_content"), "first")
     copies = signs.select("doc_id", "content").join(again, F.col("content") == F.col("_content")).select("doc_id", "first")
     copies = written(copies.where("doc_id <> first"))
-    single = signs.join(copies.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id") == F.col("_id"), "left_anti")
+    single = signs.join(copies.select(F.col("doc_id").alias("_id")).distinct().hint("merge"), F.col("doc_id") == F.col("_id"), "left_anti")
     # 2. Buckets.
     buckets = single.select("doc_id", F.explode("bands").alias("bucket"))
     any_ = F.min(F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("id")))
     shared = buckets.groupBy("bucket").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("_last"), any_.alias("_any")).where("rep < _last").select(F.col("bucket").alias("_bucket"), "rep", F.col("_any.id").alias("other"))
     buckets = written(buckets.join(shared, F.col("bucket") == F.col("_bucket")).select("bucket", "doc_id", "rep", "other").distinct())
     involved = buckets.select(F.col("doc_id").alias("_id")).distinct()
-    sets = written(cell_sets(docs.join(involved, F.col("doc_id") == F.col("_id"), "left_semi")), "none")
+    sets = written(cell_sets(docs.join(involved.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi")), "none")
     pair = F.explode(F.array("rep", "other")).alias("b")
     candidates = written(buckets.select(F.col("doc_id").alias("a"), pair).where("a <> b").distinct())
     nearest = candidates.where("b < a").groupBy("a").agg(F.min("b").alias("b"))
@@ -323,7 +325,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **opt
     """
     found = written(classes(docs, key, text, **options))
     gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(gone, F.col(key) == F.col("_id"), "left_anti")
+    kept = docs.join(gone.hint("merge"), F.col(key) == F.col("_id"), "left_anti")
     repeated = written(found.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")))
     if not repeated.limit(1).count():
         return kept

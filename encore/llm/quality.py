@@ -176,7 +176,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, share: float) -> Model:
     values = []
     for i in np.flatnonzero(used):
         v = ratio[rows[i]]
-        values.append(v / np.sqrt(v @ v))
+        values.append((v / np.sqrt(v @ v)).astype(np.float32))
     n1 = float(y[used].sum())
     cost = COST * np.where(y[used] == 1, share / n1, (1 - share) / (used.sum() - n1)) * used.sum()
     w = dual_coordinate_descent([rows[i] for i in np.flatnonzero(used)], values, np.where(y[used] == 1, 1.0, -1.0), cost, EPOCHS)
@@ -206,13 +206,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
             x = pa.array([features(t).tobytes() for t in b.column("text").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("y"), x], ["doc_id", "y", "x"])
 
-    got = picked.select("doc_id", "y", "text").mapInArrow(extract, "doc_id long, y int, x binary").toArrow()
-    found = sorted(zip(*(got.column(c).to_pylist() for c in ("doc_id", "y", "x")), strict=True))
-    # Rows of one class in turn, so that every KEPT-th row has both.
-    rows, y = [np.frombuffer(x, np.int32) for _, _, x in found], np.array([c for _, c, _ in found], np.int64)
-    order = np.concatenate([np.flatnonzero(y == c) for c in (0, 1)]) if len(y) else np.zeros(0, int)
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    return fit([rows[i] for i in order], y[order], share)
+
+    def fit_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted(row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("y", "doc_id", "x")), strict=True))
+        # Rows of one class after the other, so that every KEPT-th row has both.
+        m = fit([np.frombuffer(x, np.int32) for _, _, x in found], np.array([c for c, _, _ in found], np.int64), share)
+        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (m.weights.tobytes(), m.scale.tobytes(), m.slope, m.offset)], ["weights", "scale", "slope", "shift"])
+
+    # The sample is bounded; one task fits it, and only the model comes to the driver.
+    extracted = picked.select("doc_id", "y", "text").mapInArrow(extract, "doc_id long, y int, x binary")
+    m = extracted.repartition(1).mapInArrow(fit_sample, "weights binary, scale binary, slope double, shift double").first()
+    if m is None:  # no sample at all
+        return fit([], np.zeros(0, np.int64), share)
+    return Model(np.frombuffer(m.weights, np.float32), np.frombuffer(m.scale, np.float32), m.slope, m.shift)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
