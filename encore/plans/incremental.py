@@ -127,24 +127,44 @@ def reject_side_output(spark: SparkSession, d: str) -> DataFrame:
 
 def timeline_texts(spark: SparkSession, d: str) -> DataFrame:
     """A timestamp list per order, from its occurrences."""
-    lines = occurrences(spark, d).where("video % 20 = 0").join(table(spark, d, "part"), F.col("song") == F.col("p_partkey"))
+    lines = occurrences(spark, d).join(table(spark, d, "part"), F.col("song") == F.col("p_partkey"))
     line = F.concat(tx.seconds_hms(F.col("seconds") * 60 + F.col("position")), F.lit(" "), "p_name", F.lit(" / "), "p_brand")
     return lines.groupBy("video").agg(F.concat_ws("\n", F.array_sort(F.collect_set(line))).alias("text"))
 
 
+def timeline_rows(texts: DataFrame) -> DataFrame:
+    parsed = texts.select("video", F.explode(parsing.parsed_timeline("text")).alias("r"))
+    return parsed.select("video", "r.seconds", "r.title", "r.artist")
+
+
+def rederived(texts: DataFrame) -> DataFrame:
+    first = texts.select("video", F.explode(parsing.parsed_timeline("text")).alias("a"))
+    again = first.select("a", F.explode(parsing.parsed_timeline("a.raw")).alias("b"))
+    return again.agg(count().alias("rows"), F.count_if((F.col("a.title") != F.col("b.title")) | (F.col("a.seconds") != F.col("b.seconds")) | (F.col("a.artist") != F.col("b.artist"))).alias("changed"))
+
+
 @q("parse_timeline", f"SELECT DISTINCT video, seconds * 60 + position AS seconds, p_name AS title, p_brand AS artist FROM {OCC} JOIN part ON song = p_partkey WHERE video % 20 = 0")
 def parse_timeline(spark: SparkSession, d: str) -> DataFrame:
+    """K03 on every 20th video, as its SQL has it; the whole job is parse_timeline_all."""
+    return timeline_rows(timeline_texts(spark, d).where("video % 20 = 0"))
+
+
+@q("parse_timeline_all", f"SELECT DISTINCT video, seconds * 60 + position AS seconds, p_name AS title, p_brand AS artist FROM {OCC} JOIN part ON song = p_partkey")
+def parse_timeline_all(spark: SparkSession, d: str) -> DataFrame:
     """Texts to 0..n rows."""
-    parsed = timeline_texts(spark, d).select("video", F.explode(parsing.parsed_timeline("text")).alias("r"))
-    return parsed.select("video", "r.seconds", "r.title", "r.artist")
+    return timeline_rows(timeline_texts(spark, d))
 
 
 @q("rederive_idempotent", f"SELECT COUNT(*) AS rows, 0::BIGINT AS changed FROM (SELECT DISTINCT video, seconds * 60 + position AS s, p_name, p_brand FROM {OCC} JOIN part ON song = p_partkey WHERE video % 20 = 0)")
 def rederive_idempotent(spark: SparkSession, d: str) -> DataFrame:
+    """M01 on every 20th video, as its SQL has it; the whole job is rederive_idempotent_all."""
+    return rederived(timeline_texts(spark, d).where("video % 20 = 0"))
+
+
+@q("rederive_idempotent_all", f"SELECT COUNT(*) AS rows, 0::BIGINT AS changed FROM (SELECT DISTINCT video, seconds * 60 + position AS s, p_name, p_brand FROM {OCC} JOIN part ON song = p_partkey)")
+def rederive_idempotent_all(spark: SparkSession, d: str) -> DataFrame:
     """Parsing the stored raw lines again changes nothing."""
-    first = timeline_texts(spark, d).select("video", F.explode(parsing.parsed_timeline("text")).alias("a"))
-    again = first.select("a", F.explode(parsing.parsed_timeline("a.raw")).alias("b"))
-    return again.agg(count().alias("rows"), F.count_if((F.col("a.title") != F.col("b.title")) | (F.col("a.seconds") != F.col("b.seconds")) | (F.col("a.artist") != F.col("b.artist"))).alias("changed"))
+    return rederived(timeline_texts(spark, d))
 
 
 @q("rankings_default", f"SELECT song AS key, COUNT(*) AS n, COUNT(DISTINCT video) AS videos, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, COUNT(DISTINCT video) DESC, song)::BIGINT AS rank FROM {OCC} GROUP BY song ORDER BY rank LIMIT 200")
