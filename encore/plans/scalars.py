@@ -56,10 +56,16 @@ def clean_text(spark: SparkSession, d: str) -> DataFrame:
 
 @q("strip_accents", "SELECT doc_id, translate(left(text, 200), '" + tx.ACCENTED + "', '" + tx._base(tx.ACCENTED) + "') AS text FROM documents WHERE lang IN ('fr', 'es')")
 def strip_accents(spark: SparkSession, d: str) -> DataFrame:
-    """The search key of a preview."""
+    """I04 on the first 200 characters of fr and es, as its SQL has it; the whole job is strip_accents_all."""
     return table(spark, d, "documents").where("lang IN ('fr', 'es')").select("doc_id", tx.without_accents(F.substring("text", 1, 200)).alias("text"))
 
 
+@q("strip_accents_all", "SELECT doc_id, translate(text, '" + tx.ACCENTED + "', '" + tx._base(tx.ACCENTED) + "') AS text FROM documents")
+def strip_accents_all(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts of all languages."""
+    return table(spark, d, "documents").select("doc_id", tx.without_accents(F.col("text")).alias("text"))
+
+
 @q("split_parts")
 def split_parts(spark: SparkSession, d: str) -> DataFrame:
     """Names split at separators outside brackets."""

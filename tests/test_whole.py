@@ -28,3 +28,8 @@ def test_timeline_reads_every_video(spark, folder):
     assert sorted(r.video for r in incremental.timeline_texts(spark, folder).collect()) == [1, 3]
     assert result(spark, folder, "parse_timeline_all") == [(1, 301, "blue ring", "Brand#1"), (1, 302, "red cup", "Brand#2"), (3, 423, "blue ring", "Brand#1"), (3, 484, "blue ring", "Brand#1"), (3, 485, "blue ring", "Brand#1")]
     assert result(spark, folder, "rederive_idempotent_all") == [(5, 0)]
+
+
+def test_accents_after_the_preview(spark, tmp_path):
+    spark.createDataFrame([(1, "x" * 300 + "é", "en"), (2, "à", "fr")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert result(spark, str(tmp_path), "strip_accents_all") == [(1, "x" * 300 + "e"), (2, "a")]
