@@ -96,10 +96,16 @@ def near_dedupe_3s(spark: SparkSession, d: str) -> DataFrame:
 
 @q("same_second_dedupe", f"SELECT video, seconds, MIN(position) AS position FROM {OCC} WHERE video % 10 = 0 GROUP BY video, seconds")
 def same_second_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    """H12."""
+    """H12 by second alone on every tenth video, as its SQL has it; the whole job is same_second_dedupe_all."""
     return occurrences(spark, d).where("video % 10 = 0").groupBy("video", "seconds").agg(F.min("position").alias("position"))
 
 
+@q("same_second_dedupe_all", f"SELECT video, seconds, song, artist, MIN(position) AS position FROM {OCC} GROUP BY video, seconds, song, artist")
+def same_second_dedupe_all(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of one second, song and artist are one, the first."""
+    return occurrences(spark, d).groupBy("video", "seconds", "song", "artist").agg(F.min("position").alias("position"))
+
+
 @q("mixed_script_drop", "SELECT doc_id FROM documents d WHERE NOT (lang = 'en' AND source IN (SELECT source FROM documents GROUP BY source HAVING COUNT(*) FILTER (WHERE lang = 'fr') >= 2 AND COUNT(*) FILTER (WHERE lang = 'en') >= 2))")
 def mixed_script_drop(spark: SparkSession, d: str) -> DataFrame:
     """Translated aliases go where both scripts occur twice."""

@@ -33,3 +33,7 @@ def test_timeline_reads_every_video(spark, folder):
 def test_accents_after_the_preview(spark, tmp_path):
     spark.createDataFrame([(1, "x" * 300 + "é", "en"), (2, "à", "fr")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     assert result(spark, str(tmp_path), "strip_accents_all") == [(1, "x" * 300 + "e"), (2, "a")]
+
+
+def test_songs_of_one_second_stay(spark, folder):
+    assert result(spark, folder, "same_second_dedupe_all") == [(1, 5, 900, 1, 1), (1, 5, 901, 2, 2), (3, 7, 900, 2, 3), (3, 8, 900, 1, 4)]
