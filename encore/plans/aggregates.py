@@ -74,12 +74,22 @@ def artist_agg_missing(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumn("missing", F.sum(F.when(F.col("unknown"), F.col("n")).otherwise(0)).over(whole)).where("NOT unknown").select("artist", "n", "missing")
 
 
+def _nested_collect(o: DataFrame) -> DataFrame:
+    n = o.groupBy("artist", "song").agg(count().alias("n"))
+    lists = n.groupBy("artist").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "song"))).alias("s"))
+    return lists.select("artist", F.concat_ws(",", F.transform("s", lambda x: F.concat_ws(":", x["song"], -x["n"]))).alias("songs"))
+
+
 @q("nested_collect", f"SELECT artist, string_agg(song || ':' || n, ',' ORDER BY n DESC, song) AS songs FROM (SELECT artist, song, COUNT(*) AS n FROM {OCC} WHERE position = 7 GROUP BY ALL) GROUP BY artist")
 def nested_collect(spark: SparkSession, d: str) -> DataFrame:
+    """E05 where position = 7, as its SQL has it; the whole job is nested_collect_all."""
+    return _nested_collect(occurrences(spark, d).where("position = 7"))
+
+
+@q("nested_collect_all", f"SELECT artist, string_agg(song || ':' || n, ',' ORDER BY n DESC, song) AS songs FROM (SELECT artist, song, COUNT(*) AS n FROM {OCC} GROUP BY ALL) GROUP BY artist")
+def nested_collect_all(spark: SparkSession, d: str) -> DataFrame:
     """Songs of an artist, most frequent first."""
-    n = occurrences(spark, d).where("position = 7").groupBy("artist", "song").agg(count().alias("n"))
-    lists = n.groupBy("artist").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "song"))).alias("s"))
-    return lists.select("artist", F.concat_ws(",", F.transform("s", lambda x: F.concat_ws(":", x["song"], -x["n"]))).alias("songs"))
+    return _nested_collect(occurrences(spark, d))
 
 
 @q("channel_rollup", "SELECT o_custkey, COUNT(*) AS videos, MAX_BY(o_orderpriority, (o_orderdate, o_orderkey)) AS latest, MIN_BY(NULLIF(o_orderpriority, '5-LOW'), o_orderkey) FILTER (WHERE o_orderpriority <> '5-LOW') AS first FROM orders GROUP BY 1")
@@ -103,11 +113,21 @@ def count_distinct_fallback(spark: SparkSession, d: str) -> DataFrame:
     return occurrences(spark, d).groupBy("artist").agg(F.countDistinct(key).alias("videos"))
 
 
+def _search_totals(o: DataFrame) -> DataFrame:
+    g = o.groupBy("song").agg(count().alias("n"), F.countDistinct("video").alias("videos"))
+    return g.agg(count().alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("occurrences"), F.coalesce(F.sum("videos"), F.lit(0)).alias("videos"))
+
+
 @q("search_totals", f"SELECT COUNT(*) AS rows, COALESCE(SUM(n), 0)::BIGINT AS occurrences, COALESCE(SUM(videos), 0)::BIGINT AS videos FROM (SELECT song, COUNT(*) AS n, COUNT(DISTINCT video) AS videos FROM {OCC} WHERE song < 100 GROUP BY song)")
 def search_totals(spark: SparkSession, d: str) -> DataFrame:
+    """E09 where song < 100, as its SQL has it; the whole job is search_totals_all."""
+    return _search_totals(occurrences(spark, d).where("song < 100"))
+
+
+@q("search_totals_all", f"SELECT COUNT(*) AS rows, COALESCE(SUM(n), 0)::BIGINT AS occurrences, COALESCE(SUM(videos), 0)::BIGINT AS videos FROM (SELECT song, COUNT(*) AS n, COUNT(DISTINCT video) AS videos FROM {OCC} GROUP BY song)")
+def search_totals_all(spark: SparkSession, d: str) -> DataFrame:
     """Totals over all hits, before the page is cut."""
-    g = occurrences(spark, d).where("song < 100").groupBy("song").agg(count().alias("n"), F.countDistinct("video").alias("videos"))
-    return g.agg(count().alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("occurrences"), F.coalesce(F.sum("videos"), F.lit(0)).alias("videos"))
+    return _search_totals(occurrences(spark, d))
 
 
 @q("histogram_by_group", "SELECT user_id, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS histogram FROM (SELECT user_id, event_type, COUNT(*) AS n FROM events GROUP BY ALL) GROUP BY user_id")
@@ -134,11 +154,21 @@ def majority_lookup(spark: SparkSession, d: str) -> DataFrame:
     return core.best_per_key(a.groupBy("p_name", "artist").agg(F.sum("n").alias("n")), ["p_name"], F.desc("n"), F.asc("artist"))
 
 
+def _singleton_stats(o: DataFrame) -> DataFrame:
+    g = o.groupBy("song").agg(count().alias("rows"), F.countDistinct("artist").alias("sources"))
+    return g.withColumn("singleton", F.col("sources") == 1)
+
+
 @q("singleton_stats", f"SELECT song, COUNT(*) AS rows, COUNT(DISTINCT artist) AS sources, COUNT(DISTINCT artist) = 1 AS singleton FROM {OCC} WHERE seconds >= 48 GROUP BY song")
 def singleton_stats(spark: SparkSession, d: str) -> DataFrame:
+    """E13 where seconds >= 48, as its SQL has it; the whole job is singleton_stats_all."""
+    return _singleton_stats(occurrences(spark, d).where("seconds >= 48"))
+
+
+@q("singleton_stats_all", f"SELECT song, COUNT(*) AS rows, COUNT(DISTINCT artist) AS sources, COUNT(DISTINCT artist) = 1 AS singleton FROM {OCC} GROUP BY song")
+def singleton_stats_all(spark: SparkSession, d: str) -> DataFrame:
     """E13."""
-    g = occurrences(spark, d).where("seconds >= 48").groupBy("song").agg(count().alias("rows"), F.countDistinct("artist").alias("sources"))
-    return g.withColumn("singleton", F.col("sources") == 1)
+    return _singleton_stats(occurrences(spark, d))
 
 
 @q("global_counts", f"SELECT COUNT(DISTINCT video) AS videos, COUNT(DISTINCT song) AS songs, COUNT(*) AS occurrences, COUNT(*) FILTER (WHERE unknown) AS unknown FROM {OCC}")
@@ -181,10 +211,20 @@ def source_ratios(spark: SparkSession, d: str) -> DataFrame:
     return occurrences(spark, d).groupBy("artist").agg(count().alias("n"), F.round(F.try_divide(unknown, count()), 6).alias("unknown_ratio"), F.round(F.try_divide(F.count_if("niche"), F.count_if(~F.col("unknown"))), 6).alias("niche_ratio"))
 
 
+def _bool_aggs(o: DataFrame) -> DataFrame:
+    return o.groupBy("song").agg(F.bool_and("niche").alias("niche"), F.bool_or("unknown").alias("unknown"))
+
+
 @q("bool_aggs", f"SELECT song, bool_and(niche) AS niche, bool_or(unknown) AS unknown FROM {OCC} WHERE position >= 6 GROUP BY song")
 def bool_aggs(spark: SparkSession, d: str) -> DataFrame:
+    """E19 where position >= 6, as its SQL has it; the whole job is bool_aggs_all."""
+    return _bool_aggs(occurrences(spark, d).where("position >= 6"))
+
+
+@q("bool_aggs_all", f"SELECT song, bool_and(niche) AS niche, bool_or(unknown) AS unknown FROM {OCC} GROUP BY song")
+def bool_aggs_all(spark: SparkSession, d: str) -> DataFrame:
     """E19."""
-    return occurrences(spark, d).where("position >= 6").groupBy("song").agg(F.bool_and("niche").alias("niche"), F.bool_or("unknown").alias("unknown"))
+    return _bool_aggs(occurrences(spark, d))
 
 
 @q("nearest_rank_percentiles", "SELECT event_type, p::DOUBLE AS p, value FROM (SELECT event_type, value, ROW_NUMBER() OVER (PARTITION BY event_type ORDER BY value, event_id) AS rn, COUNT(*) OVER (PARTITION BY event_type) AS n FROM events), (VALUES (0.5), (0.9)) v(p) WHERE rn = floor(n * p) + 1")

@@ -334,10 +334,20 @@ def priority_first_wins(spark: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", F.explode(sources).alias("x")).groupBy("o_orderkey").agg(F.min_by("x.s", "x.p").alias("s"), (F.countDistinct("x.s") > 1).alias("conflict"))
 
 
+def _conflicting_attributes(o: DataFrame) -> DataFrame:
+    return o.groupBy("song").agg(F.countDistinct("artist").alias("artists")).where("artists >= 2")
+
+
 @q("conflicting_attributes", f"SELECT song, COUNT(DISTINCT artist) AS artists FROM {OCC} WHERE seconds >= 49 GROUP BY song HAVING COUNT(DISTINCT artist) >= 2")
 def conflicting_attributes(spark: SparkSession, d: str) -> DataFrame:
+    """M03 where seconds >= 49, as its SQL has it; the whole job is conflicting_attributes_all."""
+    return _conflicting_attributes(occurrences(spark, d).where("seconds >= 49"))
+
+
+@q("conflicting_attributes_all", f"SELECT song, COUNT(DISTINCT artist) AS artists FROM {OCC} GROUP BY song HAVING COUNT(DISTINCT artist) >= 2")
+def conflicting_attributes_all(spark: SparkSession, d: str) -> DataFrame:
     """M03."""
-    return occurrences(spark, d).where("seconds >= 49").groupBy("song").agg(F.countDistinct("artist").alias("artists")).where("artists >= 2")
+    return _conflicting_attributes(occurrences(spark, d))
 
 
 @q("gap_reconcile", "SELECT c_custkey, COALESCE(n, 0) AS imported, c_custkey % 20 - COALESCE(n, 0) AS gap, CASE WHEN n IS NULL THEN 'missing' WHEN n > c_custkey % 20 THEN 'ahead' WHEN n < c_custkey % 20 THEN 'behind' ELSE 'even' END AS state FROM customer LEFT JOIN (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey")
@@ -381,12 +391,22 @@ def clean_delta(spark: SparkSession, d: str) -> DataFrame:
     return occurrences(spark, d).groupBy("artist").agg(count().alias("before"), F.count_if(~F.col("unknown") & (F.col("position") < 7)).alias("after"))
 
 
+def _cluster_pairs(p: DataFrame) -> DataFrame:
+    x = p.select("p_name", F.col("p_brand").alias("a")).distinct()
+    y = x.withColumnRenamed("a", "b")
+    return x.join(y, "p_name").where("a < b").withColumn("confidence", F.when(F.left("a", F.lit(7)) == F.left("b", F.lit(7)), 0.9).otherwise(0.45))
+
+
 @q("cluster_pairs", "SELECT p_name, a, b, CASE WHEN left(a, 7) = left(b, 7) THEN 0.9 ELSE 0.45 END::DOUBLE AS confidence FROM (SELECT x.p_name, x.p_brand AS a, y.p_brand AS b FROM (SELECT DISTINCT p_name, p_brand FROM part WHERE p_size = 7) x JOIN (SELECT DISTINCT p_name, p_brand FROM part WHERE p_size = 7) y ON x.p_name = y.p_name AND x.p_brand < y.p_brand)")
 def cluster_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """M17 where p_size = 7, as its SQL has it; the whole job is cluster_pairs_all."""
+    return _cluster_pairs(table(spark, d, "part").where("p_size = 7"))
+
+
+@q("cluster_pairs_all", "SELECT p_name, a, b, CASE WHEN left(a, 7) = left(b, 7) THEN 0.9 ELSE 0.45 END::DOUBLE AS confidence FROM (SELECT x.p_name, x.p_brand AS a, y.p_brand AS b FROM (SELECT DISTINCT p_name, p_brand FROM part) x JOIN (SELECT DISTINCT p_name, p_brand FROM part) y ON x.p_name = y.p_name AND x.p_brand < y.p_brand)")
+def cluster_pairs_all(spark: SparkSession, d: str) -> DataFrame:
     """Artists of one title, scored in pairs."""
-    x = table(spark, d, "part").where("p_size = 7").select("p_name", F.col("p_brand").alias("a")).distinct()
-    y = x.withColumnRenamed("a", "b")
-    return x.join(y, "p_name").where("a < b").withColumn("confidence", F.when(F.left("a", F.lit(7)) == F.left("b", F.lit(7)), 0.9).otherwise(0.45))
+    return _cluster_pairs(table(spark, d, "part"))
 
 
 @q("event_time_route", "SELECT CASE WHEN ts > TIMESTAMP '2024-01-25' THEN 'rejected' WHEN ts >= TIMESTAMP '2024-01-25' - INTERVAL 7 DAY THEN '7d' ELSE 'all' END AS route, COUNT(*) AS n FROM events GROUP BY 1")

@@ -168,12 +168,22 @@ def override_join(spark: SparkSession, d: str) -> DataFrame:
     return core.best_per_key(o.join(F.broadcast(rules), on).select("o_orderkey", "action", "ordinal"), ["o_orderkey"], F.asc("ordinal")).select("o_orderkey", "action")
 
 
+def _shared_item_pairs(o: DataFrame) -> DataFrame:
+    a = o.select("artist", "song").distinct()
+    b = a.select(F.col("artist").alias("b"), "song")
+    return a.withColumnRenamed("artist", "a").join(b, "song").where("a < b").groupBy("a", "b").agg(F.countDistinct("song").alias("songs"))
+
+
 @q("shared_item_pairs", f"SELECT a.artist AS a, b.artist AS b, COUNT(DISTINCT a.song) AS songs FROM (SELECT DISTINCT artist, song FROM {OCC} WHERE seconds = 50) a JOIN (SELECT DISTINCT artist, song FROM {OCC} WHERE seconds = 50) b ON a.song = b.song AND a.artist < b.artist GROUP BY ALL")
 def shared_item_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """D17 where seconds = 50, as its SQL has it; the whole job is shared_item_pairs_all."""
+    return _shared_item_pairs(occurrences(spark, d).where("seconds = 50"))
+
+
+@q("shared_item_pairs_all", f"SELECT a.artist AS a, b.artist AS b, COUNT(DISTINCT a.song) AS songs FROM (SELECT DISTINCT artist, song FROM {OCC}) a JOIN (SELECT DISTINCT artist, song FROM {OCC}) b ON a.song = b.song AND a.artist < b.artist GROUP BY ALL")
+def shared_item_pairs_all(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of artists that share a song."""
-    a = occurrences(spark, d).where("seconds = 50").select("artist", "song").distinct()
-    b = a.select(F.col("artist").alias("b"), "song")
-    return a.withColumnRenamed("artist", "a").join(b, "song").where("a < b").groupBy("a", "b").agg(F.countDistinct("song").alias("songs"))
+    return _shared_item_pairs(occurrences(spark, d))
 
 
 @q(

@@ -38,11 +38,21 @@ def rank_competition(spark: SparkSession, d: str) -> DataFrame:
     return s.join(ranks, "n").select("song", "n", "rank")
 
 
+def _window_over_agg(o: DataFrame) -> DataFrame:
+    g = o.groupBy("artist", "song").agg(F.min("position").alias("p"))
+    return g.select("artist", "song", F.row_number().over(Window.partitionBy("artist").orderBy("p", "song")).cast("bigint").alias("rn"))
+
+
 @q("window_over_agg", f"SELECT artist, song, ROW_NUMBER() OVER (PARTITION BY artist ORDER BY MIN(position), song)::BIGINT AS rn FROM {OCC} WHERE seconds = 50 GROUP BY artist, song")
 def window_over_agg(spark: SparkSession, d: str) -> DataFrame:
+    """F03 where seconds = 50, as its SQL has it; the whole job is window_over_agg_all."""
+    return _window_over_agg(occurrences(spark, d).where("seconds = 50"))
+
+
+@q("window_over_agg_all", f"SELECT artist, song, ROW_NUMBER() OVER (PARTITION BY artist ORDER BY MIN(position), song)::BIGINT AS rn FROM {OCC} GROUP BY artist, song")
+def window_over_agg_all(spark: SparkSession, d: str) -> DataFrame:
     """F03."""
-    g = occurrences(spark, d).where("seconds = 50").groupBy("artist", "song").agg(F.min("position").alias("p"))
-    return g.select("artist", "song", F.row_number().over(Window.partitionBy("artist").orderBy("p", "song")).cast("bigint").alias("rn"))
+    return _window_over_agg(occurrences(spark, d))
 
 
 @q("latest_per_key", "SELECT user_id, event_id, event_type FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS rn FROM events) WHERE rn = 1")
@@ -156,12 +166,21 @@ def page(ranked: DataFrame, number: int, size: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "song")).cast("bigint")).where(F.col("rank") > (number - 1) * size)
 
 
+def _group_paging(o: DataFrame) -> DataFrame:
+    v = o.groupBy("video").agg(F.min("position").alias("p")).orderBy("p", "video").offset(20).limit(20).select("video")
+    return o.join(v, "video", "left_semi").select("video", "song", "position")
+
+
 @q("group_paging", f"WITH v AS (SELECT video FROM {OCC} WHERE song < 50 GROUP BY video ORDER BY MIN(position), video LIMIT 20 OFFSET 20) SELECT video, song, position FROM {OCC} WHERE song < 50 AND video IN (SELECT video FROM v)")
 def group_paging(spark: SparkSession, d: str) -> DataFrame:
+    """G03, K07 where song < 50, as its SQL has it; the whole job is group_paging_all."""
+    return _group_paging(occurrences(spark, d).where("song < 50"))
+
+
+@q("group_paging_all", f"WITH v AS (SELECT video FROM {OCC} GROUP BY video ORDER BY MIN(position), video LIMIT 20 OFFSET 20) SELECT video, song, position FROM {OCC} WHERE video IN (SELECT video FROM v)")
+def group_paging_all(spark: SparkSession, d: str) -> DataFrame:
     """Pages of videos, each with all its rows."""
-    o = occurrences(spark, d).where("song < 50")
-    v = o.groupBy("video").agg(F.min("position").alias("p")).orderBy("p", "video").offset(20).limit(20).select("video")
-    return o.join(v, "video", "left_semi").select("video", "song", "position")
+    return _group_paging(occurrences(spark, d))
 
 
 @q("page_slice", f"SELECT song, rank FROM (SELECT song, ROW_NUMBER() OVER (ORDER BY n DESC, song)::BIGINT AS rank FROM {SONGS}) WHERE rank BETWEEN 151 AND 250")
@@ -194,12 +213,22 @@ def relevance_sort(spark: SparkSession, d: str) -> DataFrame:
     return j.select("p_partkey", "tier", F.row_number().over(Window.orderBy("tier", F.desc("n"), "p_partkey")).cast("bigint").alias("ordinal"))
 
 
+def _case_ordering(o: DataFrame) -> DataFrame:
+    g = o.groupBy("song").agg(count().alias("n"), F.count_if(F.col("position") == 1).alias("matched")).withColumn("kind", F.col("song") % 2)
+    order = [F.col("kind"), F.when(F.col("kind") == 0, -F.col("n")).otherwise(0), F.when(F.col("kind") == 1, -F.col("matched")).otherwise(0), F.col("song")]
+    return core.ordinal(g, order, "ordinal").select("song", "kind", "ordinal")
+
+
 @q("case_ordering", f"SELECT song, kind, ROW_NUMBER() OVER (ORDER BY kind, CASE WHEN kind = 0 THEN -n ELSE 0 END, CASE WHEN kind = 1 THEN -matched ELSE 0 END, song)::BIGINT AS ordinal FROM (SELECT song, COUNT(*) AS n, COUNT(*) FILTER (WHERE position = 1) AS matched, (song % 2)::BIGINT AS kind FROM {OCC} WHERE song < 200 GROUP BY song)")
 def case_ordering(spark: SparkSession, d: str) -> DataFrame:
+    """G08 where song < 200, as its SQL has it; the whole job is case_ordering_all."""
+    return _case_ordering(occurrences(spark, d).where("song < 200"))
+
+
+@q("case_ordering_all", f"SELECT song, kind, ROW_NUMBER() OVER (ORDER BY kind, CASE WHEN kind = 0 THEN -n ELSE 0 END, CASE WHEN kind = 1 THEN -matched ELSE 0 END, song)::BIGINT AS ordinal FROM (SELECT song, COUNT(*) AS n, COUNT(*) FILTER (WHERE position = 1) AS matched, (song % 2)::BIGINT AS kind FROM {OCC} GROUP BY song)")
+def case_ordering_all(spark: SparkSession, d: str) -> DataFrame:
     """Entities by all occurrences, sources by matched ones."""
-    g = occurrences(spark, d).where("song < 200").groupBy("song").agg(count().alias("n"), F.count_if(F.col("position") == 1).alias("matched")).withColumn("kind", F.col("song") % 2)
-    order = Window.orderBy("kind", F.when(F.col("kind") == 0, -F.col("n")).otherwise(0), F.when(F.col("kind") == 1, -F.col("matched")).otherwise(0), "song")
-    return g.select("song", "kind", F.row_number().over(order).cast("bigint").alias("ordinal"))
+    return _case_ordering(occurrences(spark, d))
 
 
 @q("topk", f"SELECT song, n FROM {SONGS} ORDER BY n DESC, song LIMIT 12")

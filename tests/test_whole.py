@@ -37,3 +37,30 @@ def test_accents_after_the_preview(spark, tmp_path):
 
 def test_songs_of_one_second_stay(spark, folder):
     assert result(spark, folder, "same_second_dedupe_all") == [(1, 5, 900, 1, 1), (1, 5, 901, 2, 2), (3, 7, 900, 2, 3), (3, 8, 900, 1, 4)]
+
+
+@pytest.mark.parametrize(
+    ("name", "rows"),
+    [
+        ("fold_unknown_all", [(900, 1, 5), (901, 2, 1)]),
+        ("search_totals_all", [(2, 6, 4)]),
+        ("case_ordering_all", [(900, 0, 1), (901, 1, 2)]),
+        ("shared_item_pairs_all", [(1, 2, 1)]),
+        ("window_over_agg_all", [(1, 900, 1), (2, 901, 1), (2, 900, 2)]),
+        ("nested_collect_all", [(1, "900:4"), (2, "900:1,901:1")]),
+        ("singleton_stats_all", [(900, 5, 2, False), (901, 1, 1, True)]),
+        ("bool_aggs_all", [(900, True, True), (901, False, False)]),
+        ("conflicting_attributes_all", [(900, 2)]),
+        ("cluster_pairs_all", [("blue ring", "Brand#1", "Brand#2", 0.45)]),
+    ],
+)
+def test_whole_tables(spark, tmp_path, name, rows):
+    lines = [(1, 900, 1, 1, 5.0, "R", "O"), (1, 901, 2, 2, 5.0, "N", "O"), (3, 900, 2, 3, 7.0, "R", "F"), (3, 900, 1, 4, 8.0, "R", "O"), (3, 900, 1, 5, 8.0, "R", "O"), (5, 900, 1, 5, 8.0, "R", "O")]
+    spark.createDataFrame([(*x, DAY) for x in lines], LINE).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(900, "blue ring", "Brand#1", 3), (901, "blue ring", "Brand#2", 4)], "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    assert result(spark, str(tmp_path), name) == sorted(rows)
+
+
+def test_pages_of_all_songs(spark, tmp_path):
+    spark.createDataFrame([(v, 900 + v, 1, 1, 5.0, "R", "O", DAY) for v in range(60)], LINE).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert result(spark, str(tmp_path), "group_paging_all") == [(v, 900 + v, 1) for v in range(20, 40)]
