@@ -145,13 +145,25 @@ def alias_canonicalize(spark: SparkSession, d: str) -> DataFrame:
     "WITH w AS (SELECT DISTINCT doc_id, UNNEST(regexp_extract_all(lower(text), '[a-z]{9,}')) AS w FROM documents WHERE lang = 'en' AND n_chars < 1500), b AS (SELECT DISTINCT UNNEST(regexp_extract_all(lower(text), '[a-z]{9,}')) AS w FROM benchmark) SELECT doc_id, NOT bool_or(b.w IS NOT NULL) AS niche FROM w LEFT JOIN b USING (w) GROUP BY doc_id",
 )
 def membership_flag(spark: SparkSession, d: str) -> DataFrame:
-    """Niche if no candidate key is in the library."""
+    """D15 on short en documents that have keys, as its SQL has it; the whole job is membership_flag_all."""
     keys = lambda df, *cols: df.select(*cols, F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{9,}"), F.lit(0))).alias("w")).distinct()
     w = keys(table(spark, d, "documents").where("lang = 'en' AND n_chars < 1500"), "doc_id")
     b = keys(table(spark, d, "benchmark")).withColumn("known", F.lit(True))
     return w.join(b, "w", "left").groupBy("doc_id").agg((~F.bool_or(F.coalesce("known", F.lit(False)))).alias("niche"))
 
 
+@q(
+    "membership_flag_all",
+    "WITH w AS (SELECT DISTINCT doc_id, UNNEST(regexp_extract_all(lower(text), '[a-z]{9,}')) AS w FROM documents), b AS (SELECT DISTINCT UNNEST(regexp_extract_all(lower(text), '[a-z]{9,}')) AS w FROM benchmark), k AS (SELECT DISTINCT doc_id FROM w JOIN b USING (w)) SELECT d.doc_id, k.doc_id IS NULL AS niche FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN k ON d.doc_id = k.doc_id",
+)
+def membership_flag_all(spark: SparkSession, d: str) -> DataFrame:
+    """A flag for every document; niche if no candidate key is in the library, or it has none."""
+    keys = lambda df, *cols: df.select(*cols, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{9,}"), F.lit(0)))).alias("w"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    known = keys(docs, "doc_id").join(keys(table(spark, d, "benchmark")).distinct(), "w", "left_semi").select("doc_id").distinct().withColumn("known", F.lit(True))
+    return docs.select("doc_id").distinct().join(known, "doc_id", "left").select("doc_id", F.col("known").isNull().alias("niche"))
+
+
 RULES = [(1, 0, None, 0, "drop"), (2, None, "R", 3, "replace"), (3, None, None, 7, "force_keep")]
 RULES_SQL = "(VALUES (1, 0, NULL, 0, 'drop'), (2, NULL, 'R', 3, 'replace'), (3, NULL, NULL, 7, 'force_keep')) r(ordinal, pos, flag, modulo, action)"
 
@@ -235,7 +247,7 @@ def containment_check(spark: SparkSession, d: str) -> DataFrame:
     "SELECT e.event_id, r.o_orderkey AS revision FROM (SELECT event_id, event_id % 500 AS at FROM events WHERE event_id < 2000) e LEFT JOIN (SELECT o_orderkey, LEAD(o_orderkey) OVER (ORDER BY o_orderkey) AS until FROM orders WHERE o_orderkey % 7 = 3 AND o_orderkey < 500) r ON e.at >= r.o_orderkey AND (r.until IS NULL OR e.at < r.until)",
 )
 def asof_lineage(spark: SparkSession, d: str) -> DataFrame:
-    """The last revision at or before a point, by one sort of both sides."""
+    """D22 on the first 2000 events and 500 points, as its SQL has it; the whole job is asof_lineage_all."""
     e = table(spark, d, "events").where("event_id < 2000").select("event_id", (F.col("event_id") % 500).alias("at"), F.lit(1).alias("side"), F.lit(None).cast("bigint").alias("rev"))
     r = table(spark, d, "orders").where("o_orderkey % 7 = 3 AND o_orderkey < 500").select(F.lit(None).cast("bigint").alias("event_id"), F.col("o_orderkey").alias("at"), F.lit(0).alias("side"), F.col("o_orderkey").alias("rev"))
     before = Window.partitionBy("lineage").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -243,6 +255,23 @@ def asof_lineage(spark: SparkSession, d: str) -> DataFrame:
     return both.withColumn("revision", F.last("rev", ignorenulls=True).over(before)).where("side = 1").select("event_id", "revision")
 
 
+@q("asof_lineage_all", "SELECT e.event_id, r.o_orderkey AS revision FROM events e ASOF LEFT JOIN orders r ON e.event_id >= r.o_orderkey")
+def asof_lineage_all(spark: SparkSession, d: str) -> DataFrame:
+    """The last revision at or before a point, all events in all revisions.
+
+    Both sides are dealt to ranges of points. An event takes the last revision of its range, or
+    else the last of the ranges before, of which there is one row a range.
+    """
+    e = table(spark, d, "events").select("event_id", F.col("event_id").alias("at"), F.lit(None).cast("bigint").alias("rev"))
+    r = table(spark, d, "orders").select(F.lit(None).cast("bigint").alias("event_id"), F.col("o_orderkey").alias("at"), F.col("o_orderkey").alias("rev"))
+    both = materialized(e.unionByName(r).repartitionByRange("at").withColumn("range", F.spark_partition_id()))
+    until = Window.partitionBy("range").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = both.groupBy(F.col("range").alias("_range")).agg(F.max("rev").alias("_end")).select("_range", F.max("_end").over(before).alias("_start"))
+    found = both.withColumn("_last", F.max("rev").over(until)).where("rev IS NULL")
+    return found.join(ends, F.col("range") == F.col("_range")).select("event_id", F.coalesce("_last", "_start").alias("revision"))
+
+
 @q(
     "fill_from_mode",
     f"WITH m AS (SELECT song, artist FROM (SELECT song, artist, ROW_NUMBER() OVER (PARTITION BY song ORDER BY COUNT(*) DESC, artist) AS rn FROM {OCC} WHERE NOT unknown GROUP BY song, artist) WHERE rn = 1) SELECT COALESCE(m.artist, -1) AS artist, COUNT(*) AS n FROM {OCC} o LEFT JOIN m USING (song) WHERE o.unknown GROUP BY 1",

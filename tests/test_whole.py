@@ -64,3 +64,20 @@ def test_whole_tables(spark, tmp_path, name, rows):
 def test_pages_of_all_songs(spark, tmp_path):
     spark.createDataFrame([(v, 900 + v, 1, 1, 5.0, "R", "O", DAY) for v in range(60)], LINE).write.parquet(f"{tmp_path}/lineitem.parquet")
     assert result(spark, str(tmp_path), "group_paging_all") == [(v, 900 + v, 1) for v in range(20, 40)]
+
+
+def test_every_document_has_a_flag(spark, tmp_path):
+    docs = [(1, "benchmarks", "de", 10), (2, "something " * 400, "en", 4000), (3, "short", "en", 5), (4, None, "fr", 0)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "Benchmarks")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert result(spark, str(tmp_path), "membership_flag_all") == [(1, False), (2, True), (3, True), (4, True)]
+
+
+def test_all_events_in_all_revisions(spark, tmp_path):
+    points = [0, 1, 4, 5, 499, 500, 501, 2000, 2100, 90_000]
+    revisions = [3, 4, 10, 600, 2000, 50_000]
+    spark.createDataFrame([(x,) for x in points], "event_id long").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(x,) for x in revisions], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    want = {x: max((r for r in revisions if r <= x), default=None) for x in points}
+    got = catalog.queries()["asof_lineage_all"](spark, str(tmp_path)).collect()
+    assert len(got) == len(points) and {r.event_id: r.revision for r in got} == want
