@@ -22,8 +22,8 @@ Links are exact: similarities come from the multisets themselves.
 
 Defined results: a null text is an empty one, and empty texts are copies of one another;
 a text of fewer than five words has one shingle of all its words, one of no words one of its
-signs; rows of one id are one document; rows of null id are in no class; an empty table
-gives no rows; other columns are ignored by ``classes`` and kept by ``deduplicated``.
+signs; an id with several texts joins their classes, which are searched by text; rows of null id
+are in no class; an empty table gives no rows; other columns are ignored by ``classes`` and kept by ``deduplicated``.
 """
 
 from __future__ import annotations
@@ -283,10 +283,52 @@ def block_links(buckets: DataFrame, classes: DataFrame, sets: DataFrame, similar
     return dealt.mapInArrow(compare, "a long, b long")
 
 
+def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+
+
+def _several_texts(signs: DataFrame) -> bool:
+    """Whether an id has more than one text."""
+    h = F.xxhash64("content")
+    return bool(signs.groupBy("doc_id").agg(F.min(h).alias("low"), F.max(h).alias("high")).where("low <> high").limit(1).count())
+
+
+def _text_classes(docs: DataFrame, similarity: float, bands: int, rows: int) -> DataFrame:
+    """doc_id, content, node and class of every text of every id; the class is its smallest node.
+
+    Nodes are numbers of (id, text) in the order of ids.
+    """
+    texts = docs.where("doc_id IS NOT NULL").withColumn("content", F.unhex(F.md5("text")))
+    order = ["doc_id", "content"]
+    nodes = written(texts.select(*order).distinct().repartitionByRange(*order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id()))
+    one = written(texts.join(nodes, order).select(F.col("node").alias("doc_id"), "text"))
+    found = _classes(one, written(signed(one, bands, rows)), similarity).distinct()
+    return written(nodes.join(found.select(F.col("doc_id").alias("_node"), F.col("class_id").alias("class")), F.col("node") == F.col("_node")).select(*order, "node", "class"))
+
+
+def _id_classes(of_texts: DataFrame) -> DataFrame:
+    """node and class of ids that share a class with another; an id joins the classes of its texts."""
+    first = of_texts.where("node = class").select(F.col("class").alias("_class"), F.col("doc_id").alias("b"))
+    links = of_texts.join(first, F.col("class") == F.col("_class")).select(F.col("doc_id").alias("a"), "b")
+    return components(links)
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id and class_id of every row of ``docs``; class_id is the smallest id of the class."""
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    docs = _texts(docs, key, text)
     signs = written(signed(docs.where("doc_id IS NOT NULL"), bands, rows))
+    if not _several_texts(signs):
+        return _classes(docs, signs, similarity)
+    return _with_class(docs, _id_classes(_text_classes(docs, similarity, bands, rows)))
+
+
+def _with_class(docs: DataFrame, known: DataFrame) -> DataFrame:
+    known = known.select(F.col("node").alias("_id"), "class")
+    return docs.select("doc_id").join(known, F.col("doc_id") == F.col("_id"), "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"))
+
+
+def _classes(docs: DataFrame, signs: DataFrame, similarity: float) -> DataFrame:
+    """``classes`` where each id has one text."""
     # Ids that texts and signatures are joined to grow with the documents. Those joins are
     # merge joins at every size: the plan of a small input is that of a large one.
     # 1. Copies.
@@ -312,18 +354,26 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     known = components(links)
     # 3. Buckets of several classes.
     links = links.unionByName(block_links(buckets.select("bucket", "doc_id"), known, sets, similarity))
-    # 4. Copies belong to their first row; an id with several texts joins their classes.
+    # 4. Copies belong to their first row.
     known = components(written(links.unionByName(copies.select(F.col("doc_id").alias("a"), F.col("first").alias("b")))))
-    known = known.select(F.col("node").alias("_id"), "class")
-    return docs.select("doc_id").join(known, F.col("doc_id") == F.col("_id"), "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"))
+    return _with_class(docs, known)
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its class; of repeated rows, one.
 
-    Rows of null id are all kept.
+    Where an id has several texts, the classes are those of texts, and each keeps one text of
+    its smallest id. Rows of null id are all kept.
     """
-    found = written(classes(docs, key, text, **options))
+    found = _texts(docs, key, text)
+    signs = written(signed(found.where("doc_id IS NOT NULL"), bands, rows))
+    if _several_texts(signs):
+        kinds = _text_classes(found, similarity, bands, rows).where("node = class").select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"))
+        content = F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+        rows_ = docs.where(F.col(key).isNotNull()).withColumn("_text", content)
+        once = rows_.join(kinds, (F.col(key) == F.col("_id")) & (F.col("_text") == F.col("_content")), "left_semi").dropDuplicates([key, "_text"]).drop("_text")
+        return docs.where(F.col(key).isNull()).unionByName(once)
+    found = written(_classes(found, signs, similarity))
     gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias("_id")).distinct()
     kept = docs.join(gone.hint("merge"), F.col(key) == F.col("_id"), "left_anti")
     repeated = written(found.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")))

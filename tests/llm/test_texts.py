@@ -148,6 +148,17 @@ def test_near_duplicates_repeated_and_null_ids(spark):
     assert neardup.classes(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_id_of_two_texts(spark):
+    a, b = prose(80, 1), prose(80, 2)
+    # id 5 has a copy of 1 and the smallest copy of a text that 7 repeats and 9 nearly is.
+    rows = [(1, a), (5, a), (5, b), (7, b), (9, b + " end"), (11, prose(80, 3)), (None, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in neardup.classes(df).where("doc_id IS NOT NULL").collect()}
+    assert got == {1: 1, 5: 1, 7: 1, 9: 1, 11: 11}
+    kept = sorted((r.doc_id or -1, r.text) for r in neardup.deduplicated(df).collect())
+    assert kept == sorted([(1, a), (5, b), (11, rows[5][1]), (-1, b)])
+
+
 # Quality
 
 
