@@ -229,6 +229,12 @@ def test_search_empty(spark):
     assert search.top_k(df, df).count() == 0 and search.top_k(df.limit(0), df).count() == 0
 
 
+def test_search_negative_and_null_ids(spark):
+    df = spark.createDataFrame([(-1, "red cup"), (-7, "red ring"), (None, "red cup"), (0, "cup")], "doc_id long, text string")
+    found = search.top_k(df, df.where("doc_id = -1"), k=5).orderBy("rank").collect()
+    assert [r.doc_id for r in found][0] == -1 and {r.doc_id for r in found} == {-1, -7, 0}
+
+
 def test_combined_depends_on_order():
     a = np.array([1, 2, 3], np.uint64)
     assert combined(a, 2)[0] != combined(a[::-1].copy(), 2)[0] and len(combined(a, 4)) == 0
