@@ -286,7 +286,7 @@ def best_source(spark: SparkSession, d: str) -> DataFrame:
 
 @q("ordered_source_merge")
 def ordered_source_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Lists of ten rows or more that do not overlap in time become one."""
+    """Lists of three rows or more that do not overlap in time become one; for what is missing see the README."""
     g = occurrences(spark, d).groupBy("artist", "song").agg(count().alias("n"), F.min("seconds").alias("low"), F.max("seconds").alias("high")).where("n >= 3")
     before = Window.partitionBy("artist").orderBy("low", "song").rowsBetween(Window.unboundedPreceding, -1)
     fits = F.coalesce(F.max("high").over(before) < F.col("low"), F.lit(True))
