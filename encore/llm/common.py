@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from encore.session import ship
+from encore.session import materialized, new_folder, ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,29 +21,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder's URI below the one the cluster names in ``spark.checkpoint.dir``.
+    """The URI of a new folder in the shared folder of the session."""
+    ship(spark)
+    return new_folder(spark)
+
+
+written = materialized
+
 
-    Where that is unset (tests, one machine) a temporary folder is made and kept as
-    the checkpoint folder of the session.
+@contextmanager
+def keeping() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Gives a function that keeps what is used several times on executors' disks, until the block ends.
+
+    Kept rows have their lineage: those of a lost executor are made again. Not for loops,
+    where each round would hold the plans of all before.
     """
-    ship(spark)
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isEmpty():
-            spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='encore-')}")
-            found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = found.get()
-    base = base.rstrip("/")
-    return f"{base if ':' in base else 'file://' + base}/encore-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """``df`` written as a Parquet table in the shared folder, and read again: lineage ends there."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    held: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        held.append(df.persist(StorageLevel.DISK_ONLY))
+        return df
+
+    try:
+        yield keep
+    finally:
+        for df in held:
+            df.unpersist()
+
+
+def free_name(taken: Iterable[str], wanted: str) -> str:
+    """``wanted``, with underscores before it until no column of ``taken`` has that name."""
+    taken = {t.lower() for t in taken}
+    while wanted.lower() in taken:
+        wanted = "_" + wanted
+    return wanted
+
+
+def slices(batch: pa.RecordBatch, column: str | int, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch of at most ``rows`` rows and ``size`` bytes of the column.
+
+    A longer value is a part of its own.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, "right"))))
+        yield batch.slice(at, to - at)
+        at = to
 
 
 @contextmanager

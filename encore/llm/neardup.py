@@ -10,15 +10,15 @@ they share no band with probability below 5e-5, and less above.
 
 Links are exact: similarities come from the multisets themselves.
 
-1. Rows of equal text are one document from here on, that of the smallest id.
+1. Rows of equal text are one document until the end, that of the smallest id.
 2. In every bucket of a band, each document is compared to the one of the smallest id and to
    one drawn by hash. First one such pair for each document, then the others that are not
    yet in one class. This makes one class of nearly all of a large group of near copies.
 3. Buckets that still hold several classes are compared in full, but for pairs within one
    class, in blocks of ``BLOCK`` rows that are dealt out over all tasks. Only links that
    join classes are kept.
-4. After each step classes are the connected components of all links, by large-star and
-   small-star steps. Nothing of this comes to the driver but counts.
+4. After each step classes are the connected components of the classes so far and the new
+   links, by large-star and small-star steps. Nothing of this comes to the driver but counts.
 
 Defined results: a null text is an empty one, and empty texts are copies of one another;
 a text of fewer than five words has one shingle of all its words, one of no words one of its
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from encore.llm.common import table, written
+from encore.llm.common import free_name, keeping, slices, table, written
 from encore.llm.mph import mix
 from encore.llm.shingles import shingles
 
@@ -43,7 +43,8 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 BLOCK = 256
-BATCH = 256
+#: Texts that are hashed at a time, and their bytes (a longer text alone).
+BATCH, BATCH_BYTES = 256, 1 << 20
 
 
 def cells(texts: list[str], n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -134,8 +135,7 @@ def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, BATCH):
-                b = whole.slice(k, BATCH)
+            for b in slices(whole, "text", BATCH, BATCH_BYTES):
                 texts = b.column("text").to_pylist()
                 distinct = list(dict.fromkeys(texts))
                 place = {t: i for i, t in enumerate(distinct)}
@@ -153,8 +153,7 @@ def cell_sets(docs: DataFrame) -> DataFrame:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, BATCH):
-                b = whole.slice(k, BATCH)
+            for b in slices(whole, "text", BATCH, BATCH_BYTES):
                 cell, owner = cells(b.column("text").to_pylist())
                 cuts = np.searchsorted(owner, np.arange(1, b.num_rows))
                 sets = [np.unique((c >> np.uint64(32)).astype("<u4")).tobytes() for c in np.split(cell, cuts)]
@@ -178,21 +177,21 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "cells_a", "cells_b").mapInArrow(compare, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node and class (its smallest node) of every node of ``links`` (a, b)."""
-    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+def components(links: DataFrame, rows: int | None = None) -> DataFrame:
+    """node and class (its smallest node) of every node of ``links`` (a, b); rows: a bound of them."""
+    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), rows=rows)
     state = None
     while True:
         # Large star: every larger neighbour of a node gets the smallest of its neighbours.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, F.col("u") == F.col("_u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large)
+        large = written(large, rows=rows)
         # Small star: a node and its smaller neighbours get the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), "m")
         joined = large.join(least, F.col("u") == F.col("_u"))
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = written(small)
+        edges = written(small, rows=rows)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("class")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("class")).distinct())
@@ -302,7 +301,7 @@ def _text_classes(docs: DataFrame, similarity: float, bands: int, rows: int) ->
     order = ["doc_id", "content"]
     nodes = written(texts.select(*order).distinct().repartitionByRange(*order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id()))
     one = written(texts.join(nodes, order).select(F.col("node").alias("doc_id"), "text"))
-    found = _classes(one, written(signed(one, bands, rows)), similarity).distinct()
+    found = _classes(one, written(signed(one, bands, rows), "none"), similarity).distinct()
     return written(nodes.join(found.select(F.col("doc_id").alias("_node"), F.col("class_id").alias("class")), F.col("node") == F.col("_node")).select(*order, "node", "class"))
 
 
@@ -316,71 +315,74 @@ def _id_classes(of_texts: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id and class_id of every row of ``docs``; class_id is the smallest id of the class."""
     docs = _texts(docs, key, text)
-    signs = written(signed(docs.where("doc_id IS NOT NULL"), bands, rows))
+    unnamed = docs.where("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"))
+    signs = written(signed(docs.where("doc_id IS NOT NULL"), bands, rows), "none")
     if not _several_texts(signs):
-        return _classes(docs, signs, similarity)
-    return _with_class(docs, _id_classes(_text_classes(docs, similarity, bands, rows)))
-
-
-def _with_class(docs: DataFrame, known: DataFrame) -> DataFrame:
-    known = known.select(F.col("node").alias("_id"), "class")
+        return _classes(docs, signs, similarity).unionByName(unnamed)
+    known = _id_classes(_text_classes(docs, similarity, bands, rows)).select(F.col("node").alias("_id"), "class")
     return docs.select("doc_id").join(known, F.col("doc_id") == F.col("_id"), "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"))
 
 
 def _classes(docs: DataFrame, signs: DataFrame, similarity: float) -> DataFrame:
-    """``classes`` where each id has one text."""
-    # Ids that texts and signatures are joined to grow with the documents. Those joins are
-    # merge joins at every size: the plan of a small input is that of a large one.
-    # 1. Copies.
-    first = signs.groupBy("content").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    again = first.where("n > 1").select(F.col("content").alias("_content"), "first")
-    copies = signs.select("doc_id", "content").join(again, F.col("content") == F.col("_content")).select("doc_id", "first")
-    copies = written(copies.where("doc_id <> first"))
-    single = signs.join(copies.select(F.col("doc_id").alias("_id")).distinct().hint("merge"), F.col("doc_id") == F.col("_id"), "left_anti")
-    # 2. Buckets.
-    buckets = single.select("doc_id", F.explode("bands").alias("bucket"))
-    any_ = F.min(F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("id")))
-    shared = buckets.groupBy("bucket").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("_last"), any_.alias("_any")).where("rep < _last").select(F.col("bucket").alias("_bucket"), "rep", F.col("_any.id").alias("other"))
-    buckets = written(buckets.join(shared, F.col("bucket") == F.col("_bucket")).select("bucket", "doc_id", "rep", "other").distinct())
-    involved = buckets.select(F.col("doc_id").alias("_id")).distinct()
-    sets = written(cell_sets(docs.join(involved.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi")), "none")
-    pair = F.explode(F.array("rep", "other")).alias("b")
-    candidates = written(buckets.select(F.col("doc_id").alias("a"), pair).where("a <> b").distinct())
-    nearest = candidates.where("b < a").groupBy("a").agg(F.min("b").alias("b"))
-    links = written(verified(nearest, sets, similarity))
-    known = components(links)
-    others = candidates.join(nearest, ["a", "b"], "left_anti")
-    links = written(links.unionByName(verified(across(others, known), sets, similarity)))
-    known = components(links)
-    # 3. Buckets of several classes.
-    links = links.unionByName(block_links(buckets.select("bucket", "doc_id"), known, sets, similarity))
-    # 4. Copies belong to their first row.
-    known = components(written(links.unionByName(copies.select(F.col("doc_id").alias("a"), F.col("first").alias("b")))))
-    return _with_class(docs, known)
+    """doc_id and class_id of every row of ``signs``, where each id has one text.
+
+    What is used again stays on the executors' disks until the classes are written; a lost
+    part is made again from ``signs``, which is in the shared folder, and from ``docs``.
+    Ids that texts and signatures are joined to grow with the documents. Those joins are
+    merge joins at every size: the plan of a small input is that of a large one.
+    """
+    with keeping() as keep:
+        # 1. One row for each text, under its smallest id.
+        texts = keep(signs.groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
+        # 2. Buckets.
+        buckets = texts.select("doc_id", F.explode("bands").alias("bucket"))
+        any_ = F.min(F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("id")))
+        shared = buckets.groupBy("bucket").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("_last"), any_.alias("_any")).where("rep < _last").select(F.col("bucket").alias("_bucket"), "rep", F.col("_any.id").alias("other"))
+        buckets = keep(buckets.join(shared, F.col("bucket") == F.col("_bucket")).select("bucket", "doc_id", "rep", "other"))
+        involved = buckets.select(F.col("doc_id").alias("_id")).distinct()
+        mine = docs.join(involved.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi")
+        sets = keep(cell_sets(mine.dropDuplicates(["doc_id"])))
+        pair = F.explode(F.array("rep", "other")).alias("b")
+        candidates = keep(buckets.select(F.col("doc_id").alias("a"), pair).where("a <> b").distinct())
+        size = candidates.count()
+        nearest = candidates.where("b < a").groupBy("a").agg(F.min("b").alias("b"))
+        known = components(verified(nearest, sets, similarity), size)
+        others = candidates.join(nearest, ["a", "b"], "left_anti")
+        so_far = known.select(F.col("node").alias("a"), F.col("class").alias("b"))
+        known = components(so_far.unionByName(verified(across(others, known), sets, similarity)), size)
+        # 3. Buckets of several classes.
+        so_far = known.select(F.col("node").alias("a"), F.col("class").alias("b"))
+        known = components(so_far.unionByName(block_links(buckets.select("bucket", "doc_id"), known, sets, similarity)), size)
+        # 4. Rows of equal text are in the class of that text.
+        of_text = texts.select("content", "doc_id").join(known, F.col("doc_id") == F.col("node"), "left").select(F.col("content").alias("_content"), F.coalesce("class", "doc_id").alias("class_id"))
+        return written(signs.select("doc_id", "content").join(of_text.hint("merge"), F.col("content") == F.col("_content")).select("doc_id", "class_id"))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its class; of repeated rows, one.
 
     Where an id has several texts, the classes are those of texts, and each keeps one text of
-    its smallest id. Rows of null id are all kept.
+    its smallest id. Rows of null id are all kept. Added columns take names that ``docs`` hasn't.
     """
+    id_, content_ = free_name(docs.columns, "_id"), free_name(docs.columns, "_content")
+    kept_ = free_name([*docs.columns, content_], "_kept")
     found = _texts(docs, key, text)
-    signs = written(signed(found.where("doc_id IS NOT NULL"), bands, rows))
+    signs = written(signed(found.where("doc_id IS NOT NULL"), bands, rows), "none")
     if _several_texts(signs):
-        kinds = _text_classes(found, similarity, bands, rows).where("node = class").select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"))
+        kinds = _text_classes(found, similarity, bands, rows).where("node = class").select(F.col("doc_id").alias(id_), F.col("content").alias(kept_))
         content = F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-        rows_ = docs.where(F.col(key).isNotNull()).withColumn("_text", content)
-        once = rows_.join(kinds, (F.col(key) == F.col("_id")) & (F.col("_text") == F.col("_content")), "left_semi").dropDuplicates([key, "_text"]).drop("_text")
+        rows_ = docs.where(F.col(key).isNotNull()).withColumn(content_, content)
+        once = rows_.join(kinds, (F.col(key) == F.col(id_)) & (F.col(content_) == F.col(kept_)), "left_semi").dropDuplicates([key, content_]).drop(content_)
         return docs.where(F.col(key).isNull()).unionByName(once)
-    found = written(_classes(found, signs, similarity))
-    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(gone.hint("merge"), F.col(key) == F.col("_id"), "left_anti")
-    repeated = written(found.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")))
+    found = _classes(found, signs, similarity)
+    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias(id_)).distinct()
+    kept = docs.join(gone.hint("merge"), F.col(key) == F.col(id_), "left_anti")
+    repeated = found.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_))
     if not repeated.limit(1).count():
         return kept
-    once = kept.join(repeated, F.col(key) == F.col("_id"), "left_semi").dropDuplicates([key])
-    return kept.join(repeated, F.col(key) == F.col("_id"), "left_anti").unionByName(once)
+    repeated = written(repeated)
+    once = kept.join(repeated, F.col(key) == F.col(id_), "left_semi").dropDuplicates([key])
+    return kept.join(repeated, F.col(key) == F.col(id_), "left_anti").unionByName(once)
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
