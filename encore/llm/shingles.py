@@ -29,7 +29,8 @@ WORD_BYTES = _word_bytes()
 _powers: dict[int, np.ndarray] = {}
 
 
-def _power(base: int, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of a base, modulo 2^64."""
     known = _powers.get(base)
     if known is None or len(known) < n:
         factors = np.full(max(n, SEGMENT + 4096), base, np.uint64)
@@ -59,9 +60,9 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             high = ends[to - 1]
             n = int(high - low)
             sums = np.zeros(n + 1, np.uint64)
-            np.cumsum((data[low:high].astype(np.uint64) + np.uint64(1)) * _power(BASE, n), out=sums[1:])
+            np.cumsum((data[low:high].astype(np.uint64) + np.uint64(1)) * powers(BASE, n), out=sums[1:])
             s, e = starts[at:to] - low, ends[at:to] - low
-            hashes[at:to] = (sums[e] - sums[s]) * _power(INVERSE, n + 1)[s] + (e - s).astype(np.uint64)
+            hashes[at:to] = (sums[e] - sums[s]) * powers(INVERSE, n + 1)[s] + (e - s).astype(np.uint64)
             at = to
     return mix(hashes), np.searchsorted(starts, firsts)
 
