@@ -27,14 +27,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructType
 
-from encore.llm.common import table
+from encore.llm.common import free_name, slices, table
 
 BITS = 18
 #: Labelled rows of each class that are fitted to, at most.
 SAMPLE = {0: 3000, 1: 5000}
+#: Features of the sample's rows of each class, at most (four bytes each): a row may have up to 2^BITS.
+SAMPLE_FEATURES = 16 << 20
 SMOOTHING = 1.0
 COST = 10.0
 EPOCHS = 12
@@ -42,7 +45,8 @@ BLEND = 0.7
 #: One in so many rows of the sample is kept for the logistic curve.
 KEPT = 4
 THRESHOLD = 0.3
-ROWS = 256
+#: Texts that are scored at a time, and their bytes (a longer text alone).
+ROWS, BYTES = 256, 1 << 20
 
 
 def shapes() -> np.ndarray:
@@ -202,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     picked = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, "text", ROWS, BYTES)):
             x = pa.array([features(t).tobytes() for t in b.column("text").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("y"), x], ["doc_id", "y", "x"])
 
@@ -214,36 +218,38 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
         m = fit([np.frombuffer(x, np.int32) for _, _, x in found], np.array([c for c, _, _ in found], np.int64), share)
         yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (m.weights.tobytes(), m.scale.tobytes(), m.slope, m.offset)], ["weights", "scale", "slope", "shift"])
 
-    # The sample is bounded; one task fits it, and only the model comes to the driver.
+    # The sample is bounded in rows and features; one task fits it, and only the model comes to the driver.
     extracted = picked.select("doc_id", "y", "text").mapInArrow(extract, "doc_id long, y int, x binary")
-    m = extracted.repartition(1).mapInArrow(fit_sample, "weights binary, scale binary, slope double, shift double").first()
+    drawn = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id", "x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bounded = extracted.withColumn("_features", F.sum(F.length("x") / 4).over(drawn)).where(F.col("_features") <= SAMPLE_FEATURES).drop("_features")
+    m = bounded.repartition(1).mapInArrow(fit_sample, "weights binary, scale binary, slope double, shift double").first()
     if m is None:  # no sample at all
         return fit([], np.zeros(0, np.int64), share)
     return Model(np.frombuffer(m.weights, np.float32), np.frombuffer(m.scale, np.float32), m.slope, m.shift)
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with score and predicted."""
+def scored(docs: DataFrame, model: Model, score: str = "score", predicted: str = "predicted", text: str = "text") -> DataFrame:
+    """``docs`` with the columns score and predicted; columns of these names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("score", "predicted")
-    names = docs.columns
+    docs = docs.drop(score, predicted)
+    names, at = docs.columns, docs.columns.index(text)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for whole in batches:
-            for i in range(0, whole.num_rows, ROWS):
-                b = whole.slice(i, ROWS)
-                s = np.array([m.score(features(t or "")) for t in b.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], [*names, "score", "predicted"])
+        for b in (part for whole in batches for part in slices(whole, at, ROWS, BYTES)):
+            s = np.array([m.score(features(t or "")) for t in b.column(at).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], [*names, score, predicted])
 
-    from pyspark.sql.types import DoubleType, IntegerType, StructType
-
-    return docs.mapInArrow(score, StructType(docs.schema.fields[:]).add("score", DoubleType()).add("predicted", IntegerType()))
+    return docs.mapInArrow(apply, StructType(docs.schema.fields[:]).add(score, DoubleType()).add(predicted, IntegerType()))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier, trained on ``labels``, does not reject."""
-    return scored(docs, train(docs, labels)).where("predicted = 1").select(*docs.columns)
+    """The rows of ``docs`` that the classifier, trained on ``labels``, does not reject.
+
+    All columns stay as they are: the model's two take names that ``docs`` hasn't.
+    """
+    score, predicted = free_name(docs.columns, "_score"), free_name(docs.columns, "_predicted")
+    return scored(docs, train(docs, labels), score, predicted).where(F.col(predicted) == 1).drop(score, predicted)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
