@@ -9,8 +9,8 @@ hash of its id and the seed, as a number in [0, 1), is below the fraction of the
 Defined results: null or empty text has size 0 and is counted, but takes no words; a null
 source is a source of its own, ordered last; a source of size 0 has target 0 and rate 0;
 equal ids draw the same number (repeated rows are taken alike); a null id draws as the
-word ``null``; an empty table gives no rows; other columns are carried along, except those
-that bear the name of an added column, which are replaced.
+word ``null``; an empty table gives no rows; other columns are carried along, but
+``mixed`` replaces those that bear the name of one it adds; ``emitted`` keeps all as they are.
 """
 
 from __future__ import annotations
@@ -20,16 +20,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from encore.llm.common import table, written
+from encore.llm.common import free_name, table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 MAX_REPEAT = 2.0
 SEED = "mix-1"
-#: A table of targets of at most so many sources is broadcast (some 100 bytes each).
-BROADCAST_SOURCES = 20_000
+#: Keys that the documents of each source are dealt over where Spark does not broadcast the targets.
 BUCKETS = 64
+#: The columns that ``mixed`` adds.
+ADDED = ("size", "source_size", "target", "rate", "copies", "taken")
 
 
 def size_of(text: Column) -> Column:
@@ -69,26 +70,28 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, budget: float =
 
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, **options) -> DataFrame:
     """``docs`` with size, source_size, target, rate, copies and taken of each row."""
+    docs = docs.drop(*(c for c in ADDED if c not in (key, text, source)))
+    of, salt, bucket = (free_name([*docs.columns, *ADDED], c) for c in ("_source", "_salt", "_bucket"))
     sized = docs.withColumn("size", size_of(F.col(text)))
-    goal = written(targets(sized.select(F.col(source).alias("source"), "size"), **options).withColumnRenamed("source", "_source"))
-    few = goal.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    docs_side = sized.drop("source_size", "target", "rate", "copies", "taken")
-    if few:
-        joined = docs_side.join(F.broadcast(goal), F.col(source).eqNullSafe(F.col("_source")), "inner")
-    else:  # more sources than may be broadcast: deal each source over BUCKETS keys
-        salt = F.pmod(F.xxhash64(key, text), F.lit(BUCKETS)).cast("int")
-        spread = goal.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1))))
-        joined = docs_side.withColumn("_bucket", salt).join(spread, F.col(source).eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_salt"))).drop("_bucket", "_salt")
+    goal = written(targets(sized.select(F.col(source).alias("source"), "size"), **options).withColumnRenamed("source", of))
+    # Spark broadcasts the targets by their size as a table; beyond that, the salt deals a hot source out.
+    spread = goal.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1))))
+    dealt = sized.withColumn(bucket, F.pmod(F.xxhash64(key, text), F.lit(BUCKETS)).cast("int"))
+    joined = dealt.join(spread, F.col(source).eqNullSafe(F.col(of)) & (F.col(bucket) == F.col(salt))).drop(bucket, salt, of)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    joined = joined.drop("_source").withColumn("rate", rate)
+    joined = joined.withColumn("rate", rate)
     extra = (draw(F.col(key), seed) < F.col("rate") - F.floor("rate")).cast("long")
     return joined.withColumn("copies", F.floor("rate") + extra).withColumn("taken", F.col("size") * F.col("copies"))
 
 
-def emitted(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the columns of ``docs``, each row as many times as it is taken."""
-    out = mixed(docs, **options).where(F.col("copies") > 0)
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+def emitted(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The mix itself: the columns of ``docs``, each row as many times as it is taken.
+
+    Rows travel as a struct of their own, so that no column of theirs meets an added one.
+    """
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"), F.col(source).alias("source"))
+    out = mixed(held, "key", "text", "source", **options).where(F.col("copies") > 0)
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
