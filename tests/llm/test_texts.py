@@ -200,7 +200,8 @@ def test_dual_coordinate_descent_separates():
 
 
 def test_search_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(search, "PARTS", 2)
+    monkeypatch.setattr(search, "SHARDS", 1)
+    monkeypatch.setattr(search, "QUERIES", 3)
     rng = random.Random(8)
     table = [(i, prose(rng.randint(0, 80), i % 50)) for i in range(120)] + [(300, None), (301, "!"), (None, "w1 w2"), (40, "w1"), (302, prose(70, 3))]
     df = spark.createDataFrame([(k, t, 1.0) for k, t in table], "doc_id long, text string, score double").repartition(3)
