@@ -1,11 +1,12 @@
 r"""Operator 9: personal data in texts, in DataFrame operations only.
 
 Regular expressions propose spans, validators (number range, Luhn, digit count, mod 97)
-confirm them, and words near a span raise its score. Spans of the four base kinds that
+confirm them (or, for keys and passwords, the mix of
+signs), and words near a span raise its score. Spans of the four base kinds that
 their validator confirms always stay; a span of a further kind stays if its score reaches
 ``THRESHOLD``. The expressions use possessive repeats and may start a match only where a
 longest match can start, so their time is linear in the text; what they match is the same
-as that of the plain forms in the oracle.
+as that of the plain forms, which the tests run beside them.
 
 Offsets: ``split`` gives the text between matches, ``regexp_extract_all`` the matches;
 running sums of their lengths in code points are the offsets. The sums are formed within
@@ -13,8 +14,8 @@ chunks of ``CHUNK`` matches and then over chunks, so that a text of very many ma
 not copy a long list once per match.
 
 Defined results: a null text is empty and has no spans; repeated rows give repeated rows; a
-null id stays null; an empty table gives no rows. ``find`` keeps all columns of its input,
-except those that bear the name of an added column, which are replaced.
+null id stays null; an empty table gives no rows. ``find`` keeps all columns of its input
+but those of the name of a kind, which are replaced; ``redacted`` keeps all.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from encore.llm.common import table
+from encore.llm.common import free_name, table
 
 CHUNK = 128
 CONTEXT_CHARS = 48
@@ -50,7 +51,8 @@ CARD = Kind("card", r"[0-9](?:[\x20-]?[0-9])++", 0.8, r"\b(?:card|visa|credit|de
 PHONE = Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.7, r"\b(?:phone|call|tel|mobile|fax)\b")
 IBAN = Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9])", 0.8, r"\b(?:iban|account|bank|konto|cuenta|compte)\b", base=False)
 SSN = Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", 0.3, r"\b(?:ssn|social|security|insurance)\b", base=False)
-KINDS = (EMAIL, IP, CARD, PHONE, IBAN, SSN)
+SECRET = Kind("secret", r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,}+", 0.3, r"(?:token|secret|api.?key|access.?key|passwo?r?d|pwd|credential|bearer|auth)", base=False)
+KINDS = (EMAIL, IP, CARD, PHONE, IBAN, SSN, SECRET)
 
 SPAN = "struct<start:bigint,end:bigint,value:string>"
 
@@ -117,11 +119,14 @@ def confirmed(kind: Kind, value: Column) -> Column:
         return F.length(digits(value)).between(9, 15)
     if kind is IBAN:
         return mod97(value) == 1
+    if kind is SECRET:  # a drawn key, not a long word, a number or a path
+        number = F.length(digits(value))
+        return number.between(4, F.length(value) - 4) & (F.size(F.array_distinct(F.split(value, ""))) > 8)
     return F.lit(True)
 
 
-def confirmed_only(kind: Kind) -> Column:
-    return F.filter(f"_{kind.name}", lambda s: confirmed(kind, s["value"]))
+def confirmed_only(kind: Kind, spans: str) -> Column:
+    return F.filter(spans, lambda s: confirmed(kind, s["value"]))
 
 
 def named(kind: Kind) -> Column:
@@ -145,17 +150,20 @@ def scored(kind: Kind, text: Column, spans: Column) -> Column:
 def find(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """``docs`` with one column of spans per kind: array<start, end, value, score>."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    out = docs.withColumns({"_at": F.contains(body, F.lit("@")), "_digit": body.rlike("[0-9]")})
+    taken = [*docs.columns, *(k.name for k in kinds)]
+    at, digit = free_name(taken, "_at"), free_name(taken, "_digit")
+    step = {k: free_name(taken, f"_{k.name}") for k in kinds}
+    out = docs.withColumns({at: F.contains(body, F.lit("@")), digit: body.rlike("[0-9]")})
     none = F.array().cast("array<string>")
-    guard = {k: F.col("_at") if k is EMAIL else F.col("_digit") for k in kinds}
+    guard = {k: F.col(at) if k is EMAIL else F.col(digit) for k in kinds}
     # Each step uses a column of the step before more than once, so that they stay apart
     # in the plan and no expression over the text is computed again and again.
-    out = out.withColumns({f"_{k.name}": F.when(guard[k], F.regexp_extract_all(body, F.lit(k.pattern), F.lit(0))).otherwise(none) for k in kinds})
-    out = out.withColumns({f"_{k.name}": pairs_of(body, k.pattern, F.col(f"_{k.name}")) for k in kinds})
-    out = out.withColumns({f"_{k.name}": spans_of(F.col(f"_{k.name}")) for k in kinds})
-    out = out.withColumns({f"_{k.name}": confirmed_only(k) for k in kinds})
-    out = out.withColumns({k.name: scored(k, body, F.col(f"_{k.name}")) for k in kinds})
-    return out.drop("_at", "_digit", *(f"_{k.name}" for k in kinds))
+    out = out.withColumns({step[k]: F.when(guard[k], F.regexp_extract_all(body, F.lit(k.pattern), F.lit(0))).otherwise(none) for k in kinds})
+    out = out.withColumns({step[k]: pairs_of(body, k.pattern, F.col(step[k])) for k in kinds})
+    out = out.withColumns({step[k]: spans_of(F.col(step[k])) for k in kinds})
+    out = out.withColumns({step[k]: confirmed_only(k, step[k]) for k in kinds})
+    out = out.withColumns({k.name: scored(k, body, F.col(step[k])) for k in kinds})
+    return out.drop(at, digit, *step.values())
 
 
 def listed(kinds: tuple[Kind, ...], with_score: bool = False) -> Column:
@@ -168,20 +176,22 @@ def listed(kinds: tuple[Kind, ...], with_score: bool = False) -> Column:
 
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with every span of ``text`` replaced by its kind in brackets."""
-    found = find(docs.select("*", F.col(text).alias("_text")), "_text")
-    every = F.array_sort(F.concat(*(named(k) for k in KINDS)))
-    found = found.withColumn("_every", every)
+    """``docs`` with every span of ``text`` replaced by its kind in brackets.
+
+    Rows travel as a struct of their own, so that no column of theirs meets an added one.
+    """
+    found = find(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text).alias("text")))
+    found = found.withColumn("every", F.array_sort(F.concat(*(named(k) for k in KINDS))))
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def cut(state: Column, s: Column) -> Column:
-        gap = F.substr(F.col("_text"), (state["at"] + 1).cast("int"), F.greatest(s["start"] - state["at"], F.lit(0).cast("long")).cast("int"))
+        gap = F.substr(F.col("text"), (state["at"] + 1).cast("int"), F.greatest(s["start"] - state["at"], F.lit(0).cast("long")).cast("int"))
         fresh = s["start"] >= state["at"]
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(fresh, F.concat(state["out"], gap, F.lit("["), s["kind"], F.lit("]"))).otherwise(state["out"]).alias("out"))
 
-    done = F.aggregate("_every", begin, cut, lambda s: F.concat(s["out"], F.substr(F.col("_text"), (s["at"] + 1).cast("int"))))
-    clean = F.when(F.size("_every") > 0, done).otherwise(F.col("_text"))
-    return found.withColumn(text, clean).select(*docs.columns)
+    done = F.aggregate("every", begin, cut, lambda s: F.concat(s["out"], F.substr(F.col("text"), (s["at"] + 1).cast("int"))))
+    clean = F.when(F.size("every") > 0, done).otherwise(F.col("text"))
+    return found.withColumn("clean", clean).select(*(F.col("clean").alias(text) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
