@@ -33,7 +33,7 @@ from encore.llm.common import table, written
 
 ASSISTANT = "assistant"
 MAX_DOUBLINGS = 40
-TURN = re.compile(r"<turn ((?:[^\\<>\n]|\\.)*)>\n((?:[^\\<]|\\.)*)\n</turn>\n", re.S)
+TURN = re.compile(r"<turn ((?:[^\\<>\n]++|\\.)*+)>\n((?:[^\\<]++|\\.)*+)</turn>\n", re.S)
 ESCAPED = re.compile(r"\\(.)", re.S)
 
 
@@ -70,9 +70,9 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
     turns, at = [], 0
     while at < len(formatted):
         m = TURN.match(formatted, at)
-        if not m:
+        if not m or not m[2].endswith("\n"):
             raise ValueError(f"no turn at {at}")
-        turns.append((unescape_role(m[1]), unescape(m[2])))
+        turns.append((unescape_role(m[1]), unescape(m[2][:-1])))
         at = m.end()
     return turns
 
@@ -115,9 +115,8 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     for i in reversed(range(len(jumps))):
         jump = jumps[i].where("to IS NOT NULL").select(F.col("tree").alias("_t"), F.col("node").alias("_n"), "to")
         further = on_path.join(jump, same_tree & (F.col("node") == F.col("_n"))).select("tree", "leaf", "rank", (F.col("distance") + 2**i).alias("distance"), F.col("to").alias("node"))
-        on_path = on_path.unionByName(further)
-        if i % 3 == 0:
-            on_path = written(on_path)
+        # Each step reads the one before twice: written at once, it is made once.
+        on_path = written(on_path.unionByName(further))
     return on_path
 
 
