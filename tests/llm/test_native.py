@@ -57,11 +57,23 @@ def test_mixing_targets(spark, sizes):
     assert sum(got.values()) == pytest.approx(1.5 * sum(sizes.values()))
 
 
-def test_mixing_many_sources(spark, monkeypatch):
+def test_mixing_without_broadcast(spark):
     docs = spark.createDataFrame([(i, "w " * (i % 7), f"s{i % 5}", "", 0) for i in range(200)], DOC)
     small = sorted((r.doc_id, r.taken) for r in mixing.mixed(docs).collect())
-    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 2)
-    assert sorted((r.doc_id, r.taken) for r in mixing.mixed(docs).collect()) == small
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert sorted((r.doc_id, r.taken) for r in mixing.mixed(docs).collect()) == small
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_mixing_keeps_clashing_columns(spark):
+    names = "size source_size target rate copies taken _source _salt row key".split()
+    docs = spark.createDataFrame([(i, "one two", "x", *(f"{n}{i}" for n in names)) for i in range(6)], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    got = mixing.emitted(docs)
+    assert got.schema == docs.schema and got.count() > 6
+    assert all(r[n] == f"{n}{r.doc_id}" for r in got.collect() for n in names)
 
 
 def luhn(d):
@@ -105,6 +117,22 @@ def test_pii_validators_and_context(spark):
     assert pii.find(df.limit(0)).count() == 0
 
 
+def test_pii_secrets(spark):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    texts = [f'token = "{key}"', f"revision {key} of the code", "a password of internationalisation_and_localisation", "auth 11111111111111111111111111", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.secret] for r in pii.find(df).collect()}
+    assert got == {0: [key], 1: [], 2: [], 3: [], 4: [], 5: []}
+
+
+def test_pii_keeps_clashing_columns(spark):
+    names = "_text _at _digit _email email _every row".split()
+    df = spark.createDataFrame([(1, "write to a@b.org", *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = pii.redacted(df)
+    assert got.columns == df.columns and got.first().asDict() == df.first().asDict() | {"text": "write to [email]"}
+    assert pii.find(df).first()._at == "_at"
+
+
 def test_warc_round_trip(spark):
     big = "x" * 1500
     pages = spark.createDataFrame([(1, "http://a/", big), (2, None, big), (3, "http://c/", "small"), (4, "u", "small"), (5, "u", None), (None, "u", big), (9, "u", "é" * 800), (9, "u", "é" * 800)], "page_id long, url string, html string")
@@ -135,6 +163,15 @@ def test_chat_escapes(text):
     assert chat.unescape(formatted[starts[0] : ends[0]]) == text
 
 
+def test_chat_long_text():
+    text = "<\\" * 200_000 + "x" * 3_000_000
+    formatted, _, _ = chat.format_turns([("user", text)])
+    assert chat.parse_turns(formatted) == [("user", text)]
+    for bad in (formatted[:-1], formatted + "x", "<turn user>\nx</turn>\n"):
+        with pytest.raises(ValueError):
+            chat.parse_turns(bad)
+
+
 def test_chat_trees(spark):
     rows_ = [("t", 1, None, "user", "q", 0.0), ("t", 2, 1, "assistant", "a", 0.5), ("t", 3, 1, "assistant", "b", 2.0), ("t", 4, 3, "user", None, None), ("t", 5, 2, "user", "x", 0.1), (None, 1, 99, "user", "alone", 0.0)]
     df = spark.createDataFrame(rows_, "tree string, node long, parent long, role string, text string, score double")

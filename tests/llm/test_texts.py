@@ -1,8 +1,9 @@
-"""Decontamination, near-duplicates, quality and search: against brute force."""
+"""Decontamination, near-duplicates and search against brute force; the classifier against another solver and labels held out."""
 
 import collections
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -68,6 +69,69 @@ def test_decontaminate(spark):
     assert decontaminate.matches(df, bench.limit(0)).count() == 0 and decontaminate.matches(df.limit(0), bench).count() == 0
 
 
+def brute_tiles(text, item, least):
+    """Greedy string tiling by comparing every place with every other."""
+    free, open_, out = [True] * len(text), [True] * len(item), []
+    while least > 0:
+        top, best = min(least, len(item)), []
+        for j in range(len(item)):
+            for i in range(len(text)):
+                n = 0
+                while i + n < len(text) and j + n < len(item) and free[i + n] and open_[j + n] and text[i + n] == item[j + n]:
+                    n += 1
+                if n > top:
+                    top, best = n, [(j, i)]
+                elif n == top and n:
+                    best.append((j, i))
+        if not best:
+            break
+        for j, i in sorted(best):
+            if all(free[i : i + top]) and all(open_[j : j + top]):
+                free[i : i + top] = open_[j : j + top] = [False] * top
+                out.append((top, i, j))
+    return out
+
+
+def test_tiles_brute_force():
+    rng = random.Random(1)
+    for _ in range(300):
+        of = rng.choice([1, 2, 3, 5, 20])
+        text, item = ([rng.randint(1, of) for _ in range(rng.randint(0, most))] for most in (40, 25))
+        least = rng.choice([1, 2, 3, 5])
+        assert decontaminate.tiles(np.array(text, np.uint64), np.array(item, np.uint64), least) == brute_tiles(text, item, least)
+
+
+def test_matches_brute_force():
+    """Seeds and the bound before tiling lose no pair."""
+    rng = random.Random(2)
+    items = [" ".join(rng.choices("abcd", k=rng.randint(0, 30))) for _ in range(25)]
+    texts = [" ".join(rng.choices("abcde", k=rng.randint(0, 60))) for _ in range(25)] + [" ".join(items[i].split()[7:] + items[i].split()[:7]) for i in range(20)]
+    seeds = decontaminate.Seeds(list(range(len(items))), *words(items), 5)
+    for coverage in (0.3, 0.5, 0.9):
+        want = set()
+        for i, t in enumerate(texts):
+            for j, x in enumerate(items):
+                a, b = t.split(), x.split()
+                size = sum(n for n, _, _ in brute_tiles(a, b, 5))
+                if b and size >= coverage * len(b):
+                    want.add((i, j, size))
+        assert {(i, j, c) for i, j, _, c, _ in seeds.matches(texts, coverage)} == want
+
+
+def test_matches_of_repeated_words():
+    seeds = decontaminate.Seeds([1], *words(["same " * 2000]), 5)
+    began = time.perf_counter()
+    assert list(seeds.matches(["same " * 10_000], 0.5)) == [(0, 0, 1, 2000, 2000)]
+    assert time.perf_counter() - began < 5
+
+
+def test_decontaminate_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, prose(30, 50), "a", 1), (2, prose(60, 8), "b", 2)], "doc_id long, text string, item_id string, covered int")
+    bench = spark.createDataFrame([(7, prose(30, 50), 0)], "item_id int, text string, doc_id int")
+    assert [tuple(r) for r in decontaminate.cleaned(docs, bench).collect()] == [(2, prose(60, 8), "b", 2)]
+    assert [(r.doc_id, r.item_id) for r in decontaminate.matches(docs, bench).collect()] == [(1, 7)]
+
+
 # Near-duplicates
 
 
@@ -159,9 +223,77 @@ def test_near_duplicates_id_of_two_texts(spark):
     assert kept == sorted([(1, a), (5, b), (11, rows[5][1]), (-1, b)])
 
 
+def test_near_duplicates_of_test_documents(spark):
+    """Classes of the test table against all pairs that share a shingle, compared in full."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    cell, owner = neardup.cells([t or "" for _, t in rows])
+    sets = [set(c.tolist()) for c in np.split(cell, np.searchsorted(owner, np.arange(1, len(rows))))]
+    holders = collections.defaultdict(list)
+    for i, cells_ in enumerate(sets):
+        for c in cells_:
+            holders[c].append(i)
+    pairs = {(a, b) for h in holders.values() for k, a in enumerate(h) for b in h[k + 1 :]}
+    near = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(near) > 50
+    up = list(range(len(rows)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in near:
+        up[top(a)] = top(b)
+    low = collections.defaultdict(list)
+    for i, (k, _) in enumerate(rows):
+        low[top(i)].append(k)
+    got = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
+    assert got == {k: min(low[top(i)]) for i, (k, _) in enumerate(rows)}
+
+
+def test_deduplicated_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x", 1), (2, "a b c", "y", 2), (3, "other", "z", 3)], "doc_id long, text string, _id string, _content int")
+    assert sorted(tuple(r) for r in neardup.deduplicated(docs).collect()) == [(1, "a b c", "x", 1), (3, "other", "z", 3)]
+
+
 # Quality
 
 
+def test_quality_keeps_clashing_columns(spark):
+    good, bad = [(i, prose(50, i), 1) for i in range(40)], [(i, "$$$ ".join(prose(50, i).split()), 0) for i in range(40, 80)]
+    labels = spark.createDataFrame([(k, y) for k, _, y in good + bad], "doc_id long, quality int")
+    docs = spark.createDataFrame([(k, t, f"s{k}", k, f"p{k}") for k, t, _ in good + bad], "doc_id long, text string, score string, _score long, predicted string")
+    kept = quality.accepted(docs, labels)
+    assert kept.schema.simpleString() == docs.schema.simpleString()
+    rows = kept.collect()
+    assert 30 < len(rows) < 50 and all((r.score, r._score, r.predicted) == (f"s{r.doc_id}", r.doc_id, f"p{r.doc_id}") for r in rows)
+
+
+def test_log_count_ratios_brute_force():
+    rng = np.random.default_rng(3)
+    rows, y = [np.unique(rng.integers(1, 50, 12)).astype(np.int32) for _ in range(40)], rng.integers(0, 2, 40)
+    got = quality.log_count_ratios(rows, y)
+    held = {c: [quality.SMOOTHING + sum(f in r for r, k in zip(rows, y) if k == c) for f in range(50)] for c in (0, 1)}
+    sums = {c: sum(held[c]) + quality.SMOOTHING * ((1 << quality.BITS) - 50) for c in (0, 1)}
+    for f in range(1, 50):
+        assert got[f] == pytest.approx(math.log(held[1][f] / sums[1]) - math.log(held[0][f] / sums[0]))
+
+
+def test_dual_coordinate_descent_reaches_the_optimum():
+    """Against projected gradient descent on the dual, on rows that can't be separated."""
+    rng = np.random.default_rng(4)
+    n, size = 60, 12
+    x, y, cost = rng.normal(size=(n, size)), rng.choice([-1.0, 1.0], n), rng.uniform(0.1, 1.0, n)
+    kernel = (x @ x.T) * np.outer(y, y)
+    alpha, step = np.zeros(n), 1 / np.linalg.eigvalsh(kernel).max()
+    for _ in range(20_000):
+        alpha = np.clip(alpha - step * (kernel @ alpha - 1), 0, cost)
+    primal = lambda w: w @ w / 2 + (cost * np.maximum(0, 1 - y * (x @ w))).sum()
+    got = quality.dual_coordinate_descent([np.arange(size, dtype=np.int32)] * n, list(x), y, cost, 3000)
+    assert primal(got[:size]) == pytest.approx(primal(x.T @ (alpha * y)), rel=1e-3)
+
+
 def test_quality_held_out(spark):
     folder = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in quality.op6_quality(spark, folder).collect()}
