@@ -49,17 +49,10 @@ def relative_micros(x: Column, now: str) -> Column:
     return F.unix_micros(F.lit(now).cast("timestamp")) - back
 
 
-@F.pandas_udf(LongType())
-def fnv1a(text: pd.Series) -> pd.Series:
-    def one(x: str | None) -> int | None:
-        if x is None:
-            return None
-        h = 0x811C9DC5
-        for b in x.encode():
-            h = (h ^ b) * 0x01000193 & 0xFFFFFFFF
-        return h
-
-    return text.map(one)
+def fnv1a(text: str | Column) -> Column:
+    """The 32-bit FNV-1a hash of the UTF-8 bytes."""
+    codes = F.transform(F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0)), lambda b: F.conv(b, 16, 10).cast("bigint"))
+    return F.aggregate(codes, F.lit(0x811C9DC5).cast("bigint"), lambda h, b: (h.bitwiseXOR(b) * 0x01000193).bitwiseAND(0xFFFFFFFF))
 
 
 TIME = re.compile(r"(?<![0-9:])(?:([0-9]{1,2}):)?([0-9]{1,2}):([0-5][0-9])(?![0-9:])")

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from encore.session import materialized
 
-#: Up to so many rows are numbered by one task.
-ROWS_IN_ONE_TASK = 1_000_000
-
 
 def best_per_key(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     """The first row of each key in the given order."""
@@ -46,23 +43,31 @@ def mode(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, tie: str, quantiles: Sequence[float]) -> DataFrame:
-    """Exact percentiles: the row at floor(n * p) + 1 in order. One row per key and p."""
-    order = Window.partitionBy(*keys).orderBy(value, tie)
-    ranked = df.withColumn("_rn", F.row_number().over(order)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    wanted = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), (F.floor(F.col("_n") * p) + 1).alias("at")) for p in quantiles)))
-    return ranked.withColumn("_w", wanted).where("_rn = _w.at").select(*keys, F.col("_w.p").alias("p"), value)
-
+    """Exact percentiles: the row at floor(n * p) + 1 in order. One row per key and p.
 
-def ordinal(df: DataFrame, order: Sequence[Column], name: str = "rank", one_task: int = ROWS_IN_ONE_TASK) -> DataFrame:
+    Rows are dealt to ranges of (keys, value, tie). Counts tell the range that holds a wanted
+    row, and only such ranges are numbered, so that no key is sorted in one task.
+    """
+    at, start, total = F.col("_at"), F.col("_start"), F.col("_total")
+    ranges = materialized(df.select(*keys, value, tie).repartitionByRange(*keys, value, tie).withColumn("_range", F.spark_partition_id()))
+    counts = ranges.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys)))
+    wanted = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), (F.floor(total * p) + 1).alias("at")) for p in quantiles)))
+    wanted = counts.withColumn("_w", wanted).select(*keys, "_range", "_start", "_n", F.col("_w.p").alias("p"), F.col("_w.at").alias("_at")).where((at > start) & (at <= start + F.col("_n")))
+    wanted = wanted.select(*keys, "_range", "p", (at - start).alias("_rn"))
+    held = ranges.join(wanted.select(*keys, "_range").distinct(), [*keys, "_range"], "left_semi")
+    ranked = held.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(value, tie)).cast("bigint"))
+    return ranked.join(wanted, [*keys, "_range", "_rn"]).select(*keys, "p", value)
+
+
+def ordinal(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
     """``df`` with the place of each row in a global order, from 1.
 
-    A window without keys sends all rows to one task. Beyond ``one_task`` rows, the rows are
-    sorted in ranges instead; a row's place is that in its range, which its generated id
-    holds, and the number of rows in the ranges before, which is one row per range.
+    A window without keys would send all rows to one task. Rows are sorted in ranges instead;
+    a row's place is that in its range, which its generated id holds, and the number of rows
+    in the ranges before, which is one row per range.
     """
-    df = materialized(df)
-    if df.limit(one_task + 1).count() <= one_task:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
     ranges = materialized(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     range_ = F.shiftright("_id", 33)
@@ -71,6 +76,12 @@ def ordinal(df: DataFrame, order: Sequence[Column], name: str = "rank", one_task
     return ranges.join(starts, range_ == F.col("_range")).withColumn(name, F.col("_start") + place).drop("_id", "_range", "_start")
 
 
+def first_values(df: DataFrame, keys: Sequence[str], value: str, n: int) -> DataFrame:
+    """keys and ``values``, the first ``n`` distinct values in order. Groups are cut before they meet in a list."""
+    top = top_per_key(df.select(*keys, value).distinct(), keys, n, F.asc(value))
+    return top.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("rn", value))), lambda x: x[value]).alias("values"))
+
+
 def ranking(df: DataFrame, keys: Sequence[str], video: str, when: str) -> DataFrame:
     """Ordinal ranking: occurrences, distinct videos, earliest occurrence, then the keys.
 

@@ -12,18 +12,18 @@ MAX_TERMS, MAX_CHARS = 12, 80
 
 
 def parse_query(query: str) -> list[list[str]]:
-    """A query as OR of ANDs: quoted phrases, OR / | / 或 between groups, AND skipped."""
+    """A query as OR of ANDs: phrases in double or single quotes; OR, | or 或 between groups.
+
+    AND, +, 与 and 和 say what is so anyway. Of each group the first ``MAX_TERMS`` terms count.
+    """
     groups: list[list[str]] = [[]]
-    used = 0
-    for phrase, bar, word in re.findall(r'"([^"]*)"|(\|)|([^\s|"]+)', unicodedata.normalize("NFKC", query)):
-        if bar or word in ("OR", "或"):
+    for parts in re.findall(r""""([^"]+)"|'([^']+)'|(\S+)""", unicodedata.normalize("NFKC", query)):
+        token = next((p for p in parts if p), "").strip()
+        if token.upper() in ("OR", "|", "或"):
             groups.append([])
-        elif word != "AND":
-            term = (phrase or word).strip().lower()[:MAX_CHARS]
-            if term and used < MAX_TERMS:
-                groups[-1].append(term)
-                used += 1
-    return [g for g in groups if g]
+        elif token and token.upper() not in ("AND", "+", "与", "和"):
+            groups[-1].append(token.lower()[:MAX_CHARS])
+    return [g[:MAX_TERMS] for g in groups if g]
 
 
 def validate(query: str) -> None:

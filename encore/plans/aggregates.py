@@ -80,14 +80,8 @@ def _nested_collect(o: DataFrame) -> DataFrame:
     return lists.select("artist", F.concat_ws(",", F.transform("s", lambda x: F.concat_ws(":", x["song"], -x["n"]))).alias("songs"))
 
 
-@q("nested_collect", f"SELECT artist, string_agg(song || ':' || n, ',' ORDER BY n DESC, song) AS songs FROM (SELECT artist, song, COUNT(*) AS n FROM {OCC} WHERE position = 7 GROUP BY ALL) GROUP BY artist")
+@q("nested_collect", f"SELECT artist, string_agg(song || ':' || n, ',' ORDER BY n DESC, song) AS songs FROM (SELECT artist, song, COUNT(*) AS n FROM {OCC} GROUP BY ALL) GROUP BY artist")
 def nested_collect(spark: SparkSession, d: str) -> DataFrame:
-    """E05 where position = 7, as its SQL has it; the whole job is nested_collect_all."""
-    return _nested_collect(occurrences(spark, d).where("position = 7"))
-
-
-@q("nested_collect_all", f"SELECT artist, string_agg(song || ':' || n, ',' ORDER BY n DESC, song) AS songs FROM (SELECT artist, song, COUNT(*) AS n FROM {OCC} GROUP BY ALL) GROUP BY artist")
-def nested_collect_all(spark: SparkSession, d: str) -> DataFrame:
     """Songs of an artist, most frequent first."""
     return _nested_collect(occurrences(spark, d))
 
@@ -118,14 +112,8 @@ def _search_totals(o: DataFrame) -> DataFrame:
     return g.agg(count().alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("occurrences"), F.coalesce(F.sum("videos"), F.lit(0)).alias("videos"))
 
 
-@q("search_totals", f"SELECT COUNT(*) AS rows, COALESCE(SUM(n), 0)::BIGINT AS occurrences, COALESCE(SUM(videos), 0)::BIGINT AS videos FROM (SELECT song, COUNT(*) AS n, COUNT(DISTINCT video) AS videos FROM {OCC} WHERE song < 100 GROUP BY song)")
+@q("search_totals", f"SELECT COUNT(*) AS rows, COALESCE(SUM(n), 0)::BIGINT AS occurrences, COALESCE(SUM(videos), 0)::BIGINT AS videos FROM (SELECT song, COUNT(*) AS n, COUNT(DISTINCT video) AS videos FROM {OCC} GROUP BY song)")
 def search_totals(spark: SparkSession, d: str) -> DataFrame:
-    """E09 where song < 100, as its SQL has it; the whole job is search_totals_all."""
-    return _search_totals(occurrences(spark, d).where("song < 100"))
-
-
-@q("search_totals_all", f"SELECT COUNT(*) AS rows, COALESCE(SUM(n), 0)::BIGINT AS occurrences, COALESCE(SUM(videos), 0)::BIGINT AS videos FROM (SELECT song, COUNT(*) AS n, COUNT(DISTINCT video) AS videos FROM {OCC} GROUP BY song)")
-def search_totals_all(spark: SparkSession, d: str) -> DataFrame:
     """Totals over all hits, before the page is cut."""
     return _search_totals(occurrences(spark, d))
 
@@ -159,14 +147,8 @@ def _singleton_stats(o: DataFrame) -> DataFrame:
     return g.withColumn("singleton", F.col("sources") == 1)
 
 
-@q("singleton_stats", f"SELECT song, COUNT(*) AS rows, COUNT(DISTINCT artist) AS sources, COUNT(DISTINCT artist) = 1 AS singleton FROM {OCC} WHERE seconds >= 48 GROUP BY song")
+@q("singleton_stats", f"SELECT song, COUNT(*) AS rows, COUNT(DISTINCT artist) AS sources, COUNT(DISTINCT artist) = 1 AS singleton FROM {OCC} GROUP BY song")
 def singleton_stats(spark: SparkSession, d: str) -> DataFrame:
-    """E13 where seconds >= 48, as its SQL has it; the whole job is singleton_stats_all."""
-    return _singleton_stats(occurrences(spark, d).where("seconds >= 48"))
-
-
-@q("singleton_stats_all", f"SELECT song, COUNT(*) AS rows, COUNT(DISTINCT artist) AS sources, COUNT(DISTINCT artist) = 1 AS singleton FROM {OCC} GROUP BY song")
-def singleton_stats_all(spark: SparkSession, d: str) -> DataFrame:
     """E13."""
     return _singleton_stats(occurrences(spark, d))
 
@@ -215,14 +197,8 @@ def _bool_aggs(o: DataFrame) -> DataFrame:
     return o.groupBy("song").agg(F.bool_and("niche").alias("niche"), F.bool_or("unknown").alias("unknown"))
 
 
-@q("bool_aggs", f"SELECT song, bool_and(niche) AS niche, bool_or(unknown) AS unknown FROM {OCC} WHERE position >= 6 GROUP BY song")
+@q("bool_aggs", f"SELECT song, bool_and(niche) AS niche, bool_or(unknown) AS unknown FROM {OCC} GROUP BY song")
 def bool_aggs(spark: SparkSession, d: str) -> DataFrame:
-    """E19 where position >= 6, as its SQL has it; the whole job is bool_aggs_all."""
-    return _bool_aggs(occurrences(spark, d).where("position >= 6"))
-
-
-@q("bool_aggs_all", f"SELECT song, bool_and(niche) AS niche, bool_or(unknown) AS unknown FROM {OCC} GROUP BY song")
-def bool_aggs_all(spark: SparkSession, d: str) -> DataFrame:
     """E19."""
     return _bool_aggs(occurrences(spark, d))
 
@@ -267,8 +243,10 @@ def count_by(spark: SparkSession, d: str) -> DataFrame:
 @q("inventory_stats", "SELECT p_brand, p_type, COUNT(*) AS n, COUNT(DISTINCT p_name) AS titles, array_to_string(list_sort(list(DISTINCT p_name))[1:3], ',') AS samples FROM part GROUP BY ALL")
 def inventory_stats(spark: SparkSession, d: str) -> DataFrame:
     """Statistics with capped samples."""
-    g = table(spark, d, "part").groupBy("p_brand", "p_type").agg(count().alias("n"), F.countDistinct("p_name").alias("titles"), F.array_sort(F.collect_set("p_name")).alias("s"))
-    return g.select("p_brand", "p_type", "n", "titles", F.concat_ws(",", F.slice("s", 1, 3)).alias("samples"))
+    keys = ["p_brand", "p_type"]
+    p = table(spark, d, "part")
+    g = p.groupBy(*keys).agg(count().alias("n"), F.countDistinct("p_name").alias("titles"))
+    return g.join(core.first_values(p, keys, "p_name", 3), keys).select(*keys, "n", "titles", F.concat_ws(",", "values").alias("samples"))
 
 
 RISK_SQL = "LEAST(40, 10 * len(regexp_extract_all(text, '!!'))) + LEAST(30, 5 * len(regexp_extract_all(text, '###'))) + CASE WHEN contains(text, 'password=') THEN 50 ELSE 0 END"

@@ -22,9 +22,20 @@ def occurrences(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def searchable(spark: SparkSession, d: str) -> DataFrame:
+    """Occurrences with the texts that a search reads: title, artist, channel and video."""
+    part = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("title"), F.col("p_brand").alias("artist_name"))
+    video = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("video_title"))
+    channel = table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("channel"))
+    o = occurrences(spark, d).join(part, F.col("song") == F.col("p_partkey"), "left").join(video, F.col("video") == F.col("o_orderkey"), "left")
+    return o.join(channel, F.col("o_custkey") == F.col("c_custkey"), "left").drop("p_partkey", "o_orderkey", "o_custkey", "c_custkey")
+
+
 def count() -> F.Column:
     return F.count(F.lit(1))
 
 
 #: The same binding for oracles.
 OCC = "(SELECT l_orderkey AS video, l_partkey AS song, l_suppkey AS artist, l_linenumber::BIGINT AS position, l_shipdate AS played, l_returnflag = 'R' AS niche, l_linestatus = 'F' AS unknown, l_quantity::BIGINT AS seconds FROM lineitem)"
+
+SEARCHABLE = f"(SELECT o.*, p_name AS title, p_brand AS artist_name, c_name AS channel, o_orderpriority AS video_title FROM {OCC} o LEFT JOIN part ON song = p_partkey LEFT JOIN orders ON video = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey)"

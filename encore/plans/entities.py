@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from encore.functions import kana
 from encore.functions import text as tx
-from encore.operators import core
+from encore.operators import artists, core
 from encore.operators.cluster import greedy_clusters
 from encore.plans.common import OCC, count, occurrences
 from encore.plans.registry import Registry, table
+from encore.plans.windows import clusters_sql
 
 reg = Registry()
 q = reg.register
@@ -88,20 +89,14 @@ def exact_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return occurrences(spark, d).dropDuplicates(["video", "song", "seconds", "artist"]).agg(count().alias("n"))
 
 
-@q("near_dedupe_3s")
+@q("near_dedupe_3s", f"SELECT DISTINCT video, song, leader FROM ({clusters_sql(3)})")
 def near_dedupe_3s(spark: SparkSession, d: str) -> DataFrame:
     """Rows of one song within three seconds of the first are one."""
     return greedy_clusters(occurrences(spark, d).select("video", "song", "seconds"), ["video", "song"], "seconds", 3).select("video", "song", "leader").distinct()
 
 
-@q("same_second_dedupe", f"SELECT video, seconds, MIN(position) AS position FROM {OCC} WHERE video % 10 = 0 GROUP BY video, seconds")
+@q("same_second_dedupe", f"SELECT video, seconds, song, artist, MIN(position) AS position FROM {OCC} GROUP BY video, seconds, song, artist")
 def same_second_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    """H12 by second alone on every tenth video, as its SQL has it; the whole job is same_second_dedupe_all."""
-    return occurrences(spark, d).where("video % 10 = 0").groupBy("video", "seconds").agg(F.min("position").alias("position"))
-
-
-@q("same_second_dedupe_all", f"SELECT video, seconds, song, artist, MIN(position) AS position FROM {OCC} GROUP BY video, seconds, song, artist")
-def same_second_dedupe_all(spark: SparkSession, d: str) -> DataFrame:
     """Rows of one second, song and artist are one, the first."""
     return occurrences(spark, d).groupBy("video", "seconds", "song", "artist").agg(F.min("position").alias("position"))
 
@@ -130,51 +125,59 @@ def curated_alias(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").join(F.broadcast(aliases), "p_type", "left").groupBy(F.coalesce("canonical", "p_type").alias("kind")).agg(count().alias("n"))
 
 
-@q("romaji_merge")
+KANA_NAMES = [("t", "さくら", 3), ("t", "SAKURA Miko", 2), ("t", "しょうじょ", 1), ("t", "shoujotai", 4), ("t", "ほし", 1), ("t", "hoshino", 2), ("t", "きょうと", 2), ("t", "kyouto", 1), ("t", "kyouto band", 1), ("u", "さくら", 1), ("u", "Hana", 1)]
+
+
+@q("romaji_merge", "SELECT * FROM (VALUES ('t', 'SAKURA Miko', 5::BIGINT), ('t', 'shoujotai', 5), ('t', 'hoshino', 3), ('t', 'きょうと', 2), ('t', 'kyouto', 1), ('t', 'kyouto band', 1), ('u', 'さくら', 1), ('u', 'Hana', 1)) v(title, artist, n)")
 def romaji_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Kana names and their Latin spellings."""
-    names = spark.createDataFrame([(1, "さくら"), (2, "SAKURA"), (3, "しょうじょ"), (4, "shoujo"), (5, "ほし")], "id int, name string")
-    keyed = names.select("id", kana.romanized("name").alias("key"))
-    return keyed.groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids")).select("key", F.concat_ws(",", F.col("ids").cast("array<string>")).alias("ids"))
-
-
-TYPO = "SELECT DISTINCT p_name AS name FROM part"
-
-
-@q("levenshtein_pairs", f"SELECT a.name AS a, b.name AS b FROM ({TYPO}) a JOIN ({TYPO}) b ON a.name < b.name AND levenshtein(a.name, b.name) <= 2")
-def levenshtein_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Names within two edits. Cut into three, two such names share a piece at nearly
-    its place; pieces are the join keys, so that only names alike meet."""
-    names = table(spark, d, "part").select(F.col("p_name").alias("a")).distinct()
-    n = F.length("a")
-    piece = F.floor(n / 3).cast("int")
-    own = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), n.alias("n"), F.substr("a", piece * i + 1, piece if i < 2 else n - piece * 2).alias("s")) for i in range(3)))).alias("p")
-    pieces = names.select("a", own).select("a", "p.i", "p.n", "p.s")
-    # The other name is at most two longer or shorter, its piece at most two aside.
-    b = names.select(F.col("a").alias("b"), F.length("a").alias("m"))
-    sizes = b.select("b", "m", F.explode(F.sequence(F.greatest(F.lit(1), F.col("m") - 2), F.col("m") + 2)).alias("n"))
-    width = F.floor(F.col("n") / 3).cast("int")
-    cut = lambda i: F.when(F.lit(i) < 2, width).otherwise(F.col("n") - width * 2)
-    shifted = None
-    for i in range(3):
-        part = sizes.select("b", "n", F.lit(i).alias("i"), F.explode(F.array(*(F.substr("b", F.greatest(F.lit(1), width * i + 1 + o), cut(i)) for o in (-2, -1, 0, 1, 2)))).alias("s"))
-        shifted = part if shifted is None else shifted.unionByName(part)
-    pairs = pieces.join(shifted.distinct(), ["i", "n", "s"]).where("a < b OR b < a").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return pairs.where(F.levenshtein("a", "b") <= 2)
-
-
-@q("levenshtein_scalar", "SELECT p_partkey, levenshtein(p_name, 'small ring')::BIGINT AS d FROM part")
+    """Kana names go to the one Latin name of their title that spells, begins or ends so; two such names keep them."""
+    records = spark.createDataFrame(KANA_NAMES, "title string, artist string, n bigint")
+    return artists.merged(records, artists.kana_targets(records))
+
+
+RECORDS_SQL = "(SELECT p_name AS title, p_brand AS artist, COUNT(*) AS n FROM part GROUP BY ALL)"
+
+
+def records(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").groupBy(F.col("p_name").alias("title"), F.col("p_brand").alias("artist")).agg(count().alias("n"))
+
+
+@q(
+    "typo_merge",
+    f"""WITH r AS {RECORDS_SQL}, p AS (SELECT a.title, a.artist, b.artist AS target FROM r a JOIN r b ON a.title = b.title AND a.n = 1 AND b.n >= 3 AND length(a.artist) >= 6 AND length(b.artist) >= 6 AND levenshtein(a.artist, b.artist) = 1),
+        t AS (SELECT title, artist, MIN(target) AS target FROM p GROUP BY ALL HAVING COUNT(*) = 1)
+        SELECT r.title, COALESCE(target, r.artist) AS artist, SUM(n)::BIGINT AS n FROM r LEFT JOIN t ON t.title = r.title AND t.artist = r.artist GROUP BY ALL""",
+)
+def typo_merge(spark: SparkSession, d: str) -> DataFrame:
+    """A name seen once joins the one name of its title, seen three times or more, that is one edit away."""
+    r = records(spark, d)
+    return artists.merged(r, artists.typo_targets(r))
+
+
+@q("levenshtein_scalar", "SELECT p_partkey, levenshtein(p_name, 'small ring')::BIGINT AS d, levenshtein(p_name, 'small ring') <= 1 AS within_one FROM part")
 def levenshtein_scalar(spark: SparkSession, d: str) -> DataFrame:
-    """I25."""
-    return table(spark, d, "part").select("p_partkey", F.levenshtein(F.col("p_name"), F.lit("small ring")).cast("bigint").alias("d"))
+    """Edits, and whether there is one at most (which stops early)."""
+    name, other = F.col("p_name"), F.lit("small ring")
+    return table(spark, d, "part").select("p_partkey", F.levenshtein(name, other).cast("bigint").alias("d"), (F.levenshtein(name, other, 1) >= 0).alias("within_one"))
 
 
-@q("partial_name_pairs", f"SELECT a.name AS short, b.name AS long FROM (SELECT DISTINCT split_part(p_name, ' ', 1) AS name FROM part) a JOIN ({TYPO}) b ON starts_with(b.name, a.name || ' ') AND length(b.name) <= length(a.name) * 3.2")
-def partial_name_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """A name that is the first word of another, at most 3.2 times as long."""
-    names = table(spark, d, "part").select(F.col("p_name").alias("long")).distinct()
-    short = names.select(F.substring_index("long", " ", 1).alias("short")).distinct()
-    return names.withColumn("short", F.substring_index("long", " ", 1)).join(short, "short").where("long <> short AND length(long) <= length(short) * 3.2").select("short", "long")
+#: Names of one, two or three words.
+PARTIAL_SQL = "(SELECT p_brand AS title, CASE p_partkey % 4 WHEN 0 THEN split_part(p_name, ' ', 1) WHEN 1 THEN split_part(p_name, ' ', 2) WHEN 2 THEN p_name || ' band' ELSE p_name END AS artist, COUNT(*) AS n FROM part WHERE p_size % 5 = 0 OR p_partkey % 4 < 2 GROUP BY ALL)"
+
+
+@q(
+    "partial_name_merge",
+    f"""WITH r AS {PARTIAL_SQL}, p AS (SELECT a.title, a.artist, b.artist AS target FROM r a JOIN r b ON a.title = b.title AND (starts_with(b.artist, a.artist || ' ') OR ends_with(b.artist, ' ' || a.artist)) AND length(b.artist) <= length(a.artist) * 3.2),
+        t AS (SELECT title, artist, MIN(target) AS target FROM p GROUP BY ALL HAVING COUNT(DISTINCT target) = 1)
+        SELECT r.title, COALESCE(target, r.artist) AS artist, SUM(n)::BIGINT AS n FROM r LEFT JOIN t ON t.title = r.title AND t.artist = r.artist GROUP BY ALL""",
+)
+def partial_name_merge(spark: SparkSession, d: str) -> DataFrame:
+    """A name joins the one longer name of its title that begins or ends with it, at most 3.2 times as long."""
+    word = F.split("p_name", " ")
+    kind = F.col("p_partkey") % 4
+    name = F.when(kind == 0, word[0]).when(kind == 1, word[1]).when(kind == 2, F.concat("p_name", F.lit(" band"))).otherwise(F.col("p_name"))
+    r = table(spark, d, "part").where("p_size % 5 = 0 OR p_partkey % 4 < 2").groupBy(F.col("p_brand").alias("title"), name.alias("artist")).agg(count().alias("n"))
+    return artists.merged(r, artists.partial_targets(r))
 
 
 def _fold_unknown(o: DataFrame) -> DataFrame:
@@ -184,14 +187,8 @@ def _fold_unknown(o: DataFrame) -> DataFrame:
     return counted.join(m, "song", "left").groupBy("song", artist.alias("artist")).agg(F.sum("n").alias("n"))
 
 
-@q("fold_unknown", f"WITH m AS (SELECT song, MIN_BY(artist, (-n, artist)) AS owner FROM (SELECT song, artist, COUNT(*) AS n FROM {OCC} WHERE NOT unknown GROUP BY ALL) GROUP BY song) SELECT o.song, COALESCE(CASE WHEN unknown THEN owner ELSE artist END, -1) AS artist, COUNT(*) AS n FROM {OCC} o LEFT JOIN m USING (song) WHERE o.song < 300 GROUP BY ALL")
+@q("fold_unknown", f"WITH m AS (SELECT song, MIN_BY(artist, (-n, artist)) AS owner FROM (SELECT song, artist, COUNT(*) AS n FROM {OCC} WHERE NOT unknown GROUP BY ALL) GROUP BY song) SELECT o.song, COALESCE(CASE WHEN unknown THEN owner ELSE artist END, -1) AS artist, COUNT(*) AS n FROM {OCC} o LEFT JOIN m USING (song) GROUP BY ALL")
 def fold_unknown(spark: SparkSession, d: str) -> DataFrame:
-    """H19 where song < 300, as its SQL has it; the whole job is fold_unknown_all."""
-    return _fold_unknown(occurrences(spark, d).where("song < 300"))
-
-
-@q("fold_unknown_all", f"WITH m AS (SELECT song, MIN_BY(artist, (-n, artist)) AS owner FROM (SELECT song, artist, COUNT(*) AS n FROM {OCC} WHERE NOT unknown GROUP BY ALL) GROUP BY song) SELECT o.song, COALESCE(CASE WHEN unknown THEN owner ELSE artist END, -1) AS artist, COUNT(*) AS n FROM {OCC} o LEFT JOIN m USING (song) GROUP BY ALL")
-def fold_unknown_all(spark: SparkSession, d: str) -> DataFrame:
     """H19."""
     return _fold_unknown(occurrences(spark, d))
 
@@ -284,13 +281,38 @@ def best_source(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy("source").agg(F.min_by("doc_id", F.struct(-score, "doc_id")).alias("doc_id"))
 
 
-@q("ordered_source_merge")
+@q(
+    "ordered_source_merge",
+    f"""WITH RECURSIVE l AS (SELECT artist, (seconds // 12) * 2 + song % 2 AS list, COUNT(*) AS n, MIN(seconds) AS low, MAX(seconds) AS high FROM {OCC} GROUP BY ALL),
+        o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY artist ORDER BY low, list) AS rn FROM l WHERE n >= 10),
+        f AS (SELECT artist, list, rn, high > low AS taken, CASE WHEN high > low THEN high ELSE -1 END AS last FROM o WHERE rn = 1
+          UNION ALL SELECT o.artist, o.list, o.rn, o.low > f.last AND o.high > o.low, CASE WHEN o.low > f.last AND o.high > o.low THEN o.high ELSE f.last END FROM f JOIN o ON o.artist = f.artist AND o.rn = f.rn + 1),
+        m AS (SELECT x.artist, COUNT(*) AS total, COUNT(DISTINCT (x.seconds, x.song)) AS rows FROM {OCC} x JOIN f ON f.artist = x.artist AND f.taken AND f.list = (x.seconds // 12) * 2 + x.song % 2 GROUP BY ALL),
+        w AS (SELECT artist, COUNT(*) FILTER (WHERE n >= 10) AS long, MAX(n) AS largest FROM l GROUP BY artist)
+        SELECT w.artist, CASE WHEN long >= 2 AND total >= 20 THEN rows ELSE 0 END AS rows, COALESCE(long >= 2 AND total >= 20 AND rows > largest, FALSE) AS merged FROM w LEFT JOIN m ON m.artist = w.artist""",
+)
 def ordered_source_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Lists of three rows or more that do not overlap in time become one; for what is missing see the README."""
-    g = occurrences(spark, d).groupBy("artist", "song").agg(count().alias("n"), F.min("seconds").alias("low"), F.max("seconds").alias("high")).where("n >= 3")
-    before = Window.partitionBy("artist").orderBy("low", "song").rowsBetween(Window.unboundedPreceding, -1)
-    fits = F.coalesce(F.max("high").over(before) < F.col("low"), F.lit(True))
-    return g.withColumn("fits", fits).where("fits").groupBy("artist").agg(F.sum("n").alias("rows"), count().alias("lists"))
+    """Lists of ten rows or more that follow one another become one, if two or more do and hold
+    twenty rows; repeats go, and the whole is taken where it is longer than the longest list.
+
+    A list counts against later ones only if it was taken itself: a fold over the lists of a video.
+    """
+    list_ = F.floor(F.col("seconds") / 12) * 2 + F.col("song") % 2
+    o = occurrences(spark, d).select("artist", "song", "seconds", list_.alias("list"))
+    lists = o.groupBy("artist", "list").agg(count().alias("n"), F.min("seconds").alias("low"), F.max("seconds").alias("high"))
+    row = F.when(F.col("n") >= 10, F.struct("low", "list", "high"))
+    g = lists.groupBy("artist").agg(F.sort_array(F.collect_list(row)).alias("lists"), F.max("n").alias("largest"))
+    start = F.struct(F.lit(-1).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("taken"))
+
+    def take(state: F.Column, x: F.Column) -> F.Column:
+        fits = (x["low"] > state["last"]) & (x["high"] > x["low"])
+        return F.when(fits, F.struct(x["high"].alias("last"), F.concat(state["taken"], F.array(x["list"])).alias("taken"))).otherwise(state)
+
+    g = g.select("artist", "largest", F.size("lists").alias("long"), F.aggregate("lists", start, take)["taken"].alias("taken"))
+    of = o.join(g.select("artist", F.explode("taken").alias("list")), ["artist", "list"])
+    per = of.groupBy("artist", "seconds", "song").agg(count().alias("n")).groupBy("artist").agg(F.sum("n").alias("total"), count().alias("rows"))
+    enough = (F.col("long") >= 2) & (F.coalesce("total", F.lit(0)) >= 20)
+    return g.join(per, "artist", "left").select("artist", F.when(enough, F.col("rows")).otherwise(F.lit(0)).alias("rows"), (enough & (F.coalesce("rows", F.lit(0)) > F.col("largest"))).alias("merged"))
 
 
 @q("hydrate_dim", "SELECT o_orderkey, COALESCE(c.c_name, s.s_name) AS name, c.c_custkey IS NOT NULL OR s.s_suppkey IS NOT NULL AS collected FROM orders LEFT JOIN customer c ON c.c_custkey = o_custkey AND c.c_custkey % 3 <> 0 LEFT JOIN supplier s ON s.s_suppkey = o_custkey")

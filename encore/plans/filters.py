@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from encore.functions import text as tx
-from encore.operators import search
+from encore.operators import core, search
 from encore.plans.common import OCC, count, now, occurrences
 from encore.plans.registry import Registry, table
 
@@ -155,8 +155,7 @@ def trend_class(spark: SparkSession, d: str) -> DataFrame:
 @q("compact_preview", f"SELECT song, array_to_string(list_sort(list(DISTINCT video))[1:3], ',') AS preview FROM {OCC} GROUP BY song")
 def compact_preview(spark: SparkSession, d: str) -> DataFrame:
     """C17: previews of three."""
-    g = occurrences(spark, d).groupBy("song").agg(F.array_sort(F.collect_set("video")).alias("v"))
-    return g.select("song", F.concat_ws(",", F.slice("v", 1, 3).cast("array<string>")).alias("preview"))
+    return core.first_values(occurrences(spark, d), ["song"], "video", 3).select("song", F.concat_ws(",", F.col("values").cast("array<string>")).alias("preview"))
 
 
 @q("regex_filter", "SELECT c_custkey FROM customer WHERE regexp_matches(c_name, '^[A-Za-z]+#0*[1-9]0$')")

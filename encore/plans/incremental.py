@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from encore.functions import parsing
 from encore.functions import text as tx
 from encore.operators import core
-from encore.operators.rankings import rankings
-from encore.plans.common import OCC, count, now, occurrences
+from encore.operators.rankings import rankings, search_rankings
+from encore.plans.common import OCC, SEARCHABLE, count, now, occurrences, searchable
 from encore.plans.registry import Registry, table
+from encore.session import new_folder
 from encore.streaming import jobs
 
 reg = Registry()
@@ -22,15 +25,15 @@ def micros(c: F.Column) -> F.Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
-@q("stream_append")
+@q("stream_append", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, COUNT(*) AS n FROM events GROUP BY ALL")
 def stream_append(spark: SparkSession, d: str) -> DataFrame:
-    """One bounded micro-batch run over the events, counted by day and kind."""
+    """Bounded micro-batches over the files of a feed, counted by day and kind."""
     return jobs.daily_counts(spark, d, "events")
 
 
-@q("stream_dedupe")
+@q("stream_dedupe", "SELECT event_id, event_type, epoch_us(ts) AS us FROM events")
 def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    """Ids that earlier batches had are dropped within the watermark."""
+    """Ids that earlier batches had are dropped within the watermark; the feed sends a tenth of them twice."""
     return jobs.deduplicated(spark, d, "events")
 
 
@@ -110,12 +113,22 @@ def incremental_equals_full(spark: SparkSession, d: str) -> DataFrame:
     return agg(before).join(touched, "song", "left_anti").unionByName(agg(o.join(touched, "song", "left_semi")))
 
 
-@q("resumable_partitions")
+@q("resumable_partitions", "SELECT o_orderkey % 16 AS part, COUNT(*) AS n, SUM(o_orderkey * (o_orderkey % 16 + 1))::BIGINT AS digest, CASE WHEN o_orderkey % 16 < 5 THEN 1 ELSE 2 END::BIGINT AS run FROM orders GROUP BY ALL")
 def resumable_partitions(spark: SparkSession, d: str) -> DataFrame:
-    """Work by partitions; those with a digest on record are not done again."""
-    parts = table(spark, d, "orders").groupBy((F.col("o_orderkey") % 16).alias("part")).agg(count().alias("n"), F.sum(F.xxhash64("o_orderkey", "o_orderstatus").cast("decimal(38,0)")).cast("string").alias("digest"))
-    done = parts.where("part < 4").select("part")
-    return parts.join(done, "part", "left_anti")
+    """Work by partitions; those that the checkpoint has are not done again.
+
+    The first run ends after five partitions; the second finds them on record and does the others.
+    """
+    rows = table(spark, d, "orders").withColumn("part", F.col("o_orderkey") % 16)
+    folder = new_folder(spark)
+
+    def work(run: int, todo: DataFrame) -> None:
+        done = todo.groupBy("part").agg(count().alias("n"), F.sum(F.col("o_orderkey") * (F.col("part") + 1)).alias("digest"), F.lit(run).cast("bigint").alias("run"))
+        done.write.mode("append").parquet(folder)
+
+    work(1, rows.where("part < 5"))
+    work(2, rows.join(spark.read.parquet(folder).select("part"), "part", "left_anti"))
+    return spark.read.parquet(folder)
 
 
 @q("reject_side_output", f"SELECT reason, COUNT(*) AS n FROM (SELECT CASE WHEN unknown THEN 'unknown' WHEN niche THEN 'niche' END AS reason FROM {OCC}) WHERE reason IS NOT NULL GROUP BY 1")
@@ -143,26 +156,14 @@ def rederived(texts: DataFrame) -> DataFrame:
     return again.agg(count().alias("rows"), F.count_if((F.col("a.title") != F.col("b.title")) | (F.col("a.seconds") != F.col("b.seconds")) | (F.col("a.artist") != F.col("b.artist"))).alias("changed"))
 
 
-@q("parse_timeline", f"SELECT DISTINCT video, seconds * 60 + position AS seconds, p_name AS title, p_brand AS artist FROM {OCC} JOIN part ON song = p_partkey WHERE video % 20 = 0")
+@q("parse_timeline", f"SELECT DISTINCT video, seconds * 60 + position AS seconds, p_name AS title, p_brand AS artist FROM {OCC} JOIN part ON song = p_partkey")
 def parse_timeline(spark: SparkSession, d: str) -> DataFrame:
-    """K03 on every 20th video, as its SQL has it; the whole job is parse_timeline_all."""
-    return timeline_rows(timeline_texts(spark, d).where("video % 20 = 0"))
-
-
-@q("parse_timeline_all", f"SELECT DISTINCT video, seconds * 60 + position AS seconds, p_name AS title, p_brand AS artist FROM {OCC} JOIN part ON song = p_partkey")
-def parse_timeline_all(spark: SparkSession, d: str) -> DataFrame:
     """Texts to 0..n rows."""
     return timeline_rows(timeline_texts(spark, d))
 
 
-@q("rederive_idempotent", f"SELECT COUNT(*) AS rows, 0::BIGINT AS changed FROM (SELECT DISTINCT video, seconds * 60 + position AS s, p_name, p_brand FROM {OCC} JOIN part ON song = p_partkey WHERE video % 20 = 0)")
+@q("rederive_idempotent", f"SELECT COUNT(*) AS rows, 0::BIGINT AS changed FROM (SELECT DISTINCT video, seconds * 60 + position AS s, p_name, p_brand FROM {OCC} JOIN part ON song = p_partkey)")
 def rederive_idempotent(spark: SparkSession, d: str) -> DataFrame:
-    """M01 on every 20th video, as its SQL has it; the whole job is rederive_idempotent_all."""
-    return rederived(timeline_texts(spark, d).where("video % 20 = 0"))
-
-
-@q("rederive_idempotent_all", f"SELECT COUNT(*) AS rows, 0::BIGINT AS changed FROM (SELECT DISTINCT video, seconds * 60 + position AS s, p_name, p_brand FROM {OCC} JOIN part ON song = p_partkey)")
-def rederive_idempotent_all(spark: SparkSession, d: str) -> DataFrame:
     """Parsing the stored raw lines again changes nothing."""
     return rederived(timeline_texts(spark, d))
 
@@ -179,6 +180,53 @@ def rankings_search(spark: SparkSession, d: str) -> DataFrame:
     return rankings(occurrences(spark, d), view="artist", where=F.col("artist") % 3 == 1, niche_only=True, hide_unknown=True, min_count=5, page_size=50)
 
 
+@q("rankings_query", f"SELECT artist AS key, COUNT(*) AS n, COUNT(DISTINCT video) AS videos, ROW_NUMBER() OVER (ORDER BY COUNT(DISTINCT video) DESC, COUNT(*) DESC, artist)::BIGINT AS rank FROM {SEARCHABLE} WHERE (contains(lower(title), 'small ring') OR contains(lower(title), 'blue') OR contains(lower(title), 'red') AND contains(lower(title), 'ring')) AND played <= TIMESTAMP '1998-12-01' AND played > TIMESTAMP '1998-12-01' - INTERVAL 7 DAY AND NOT unknown GROUP BY artist ORDER BY rank LIMIT 30")
+def rankings_query(spark: SparkSession, d: str) -> DataFrame:
+    """Range, search, scope, metric and a compact page at once."""
+    return search_rankings(searchable(spark, d), view="artist", q="'small ring' or blue OR red + ring", scope="title", range_="7d", metric="videos", hide_unknown=True, page_size=30, compact=True).records
+
+
+@q("rankings_fallback", f"SELECT song AS key, COUNT(*) AS n, COUNT(DISTINCT video) AS videos, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, COUNT(DISTINCT video) DESC, song)::BIGINT AS rank, ROUND(COUNT(*) / COUNT(DISTINCT video), 4) AS share FROM {SEARCHABLE} WHERE contains(lower(channel), '00007') GROUP BY song ORDER BY rank LIMIT 20")
+def rankings_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """No song is named so; songs of the channels that are come instead."""
+    return search_rankings(searchable(spark, d), q="00007", page_size=20).records
+
+
+@q("rankings_totals", f"SELECT COUNT(*) AS total, SUM(n)::BIGINT AS occurrences, SUM(videos)::BIGINT AS videos FROM (SELECT artist, COUNT(*) AS n, COUNT(DISTINCT video) AS videos FROM {SEARCHABLE} WHERE contains(lower(title || ' ' || artist_name), 'ring') AND niche GROUP BY artist HAVING COUNT(*) >= 3)")
+def rankings_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Totals of all rows that the page is a page of."""
+    return search_rankings(searchable(spark, d), view="artist", q="ring", niche_only=True, min_count=3).totals
+
+
+@q("injected_callbacks", "SELECT lower(p_name) AS title, upper(p_brand) AS artist, COUNT(*) AS n FROM part GROUP BY ALL")
+def injected_callbacks(spark: SparkSession, d: str) -> DataFrame:
+    """Key functions come from the caller, as column builders or as functions of one value."""
+    return aggregated_by(table(spark, d, "part"), {"title": ("p_name", F.lower), "artist": ("p_brand", str.upper)})
+
+
+def aggregated_by(rows: DataFrame, keys: dict[str, tuple[str, Callable]]) -> DataFrame:
+    """Counts by keys, each made of a column by a column builder or by a Python function, which then gets Arrow batches."""
+
+    def column(name: str, make: Callable) -> F.Column:
+        try:
+            return make(F.col(name))
+        except TypeError:
+            return F.pandas_udf(lambda s: s.map(make, na_action="ignore"), "string")(F.col(name))
+
+    return rows.groupBy(*(column(name, make).alias(k) for k, (name, make) in keys.items())).agg(count().alias("n"))
+
+
+@q("accumulators", f"SELECT song, string_agg(artist || '=' || n, ',' ORDER BY artist) AS counts, MAX(bounded) AS bounded FROM (SELECT song, artist, COUNT(*) AS n FROM {OCC} GROUP BY ALL) JOIN (SELECT song, string_agg(artist::VARCHAR, ' ' ORDER BY artist) AS bounded FROM (SELECT song, artist, ROW_NUMBER() OVER (PARTITION BY song ORDER BY artist) AS rn, SUM(length(artist::VARCHAR) + 1) OVER (PARTITION BY song ORDER BY artist) AS chars FROM (SELECT DISTINCT song, artist FROM {OCC})) WHERE rn <= 8 AND chars <= 12 GROUP BY song) USING (song) GROUP BY song")
+def accumulators(spark: SparkSession, d: str) -> DataFrame:
+    """A map of counts, and a text of at most eight names and twelve signs, per key."""
+    o = occurrences(spark, d)
+    counts = o.groupBy("song", "artist").agg(count().alias("n"))
+    maps = counts.groupBy("song").agg(F.sort_array(F.collect_list(F.struct("artist", "n"))).alias("m"))
+    text = lambda state, x: F.when(F.length(state) + F.length(x) + 1 <= 12, F.concat_ws(" ", F.when(state != "", state), x)).otherwise(state)
+    first = core.first_values(o, ["song"], "artist", 8).select("song", F.aggregate(F.col("values").cast("array<string>"), F.lit(""), text).alias("bounded"))
+    return maps.join(first, "song").select("song", F.array_join(F.transform("m", lambda x: F.concat_ws("=", x["artist"], x["n"])), ",").alias("counts"), "bounded")
+
+
 @q("table_counts", " UNION ALL ".join(f"SELECT '{t}' AS name, COUNT(*) AS n FROM {t}" for t in TABLES))
 def table_counts(spark: SparkSession, d: str) -> DataFrame:
     """K08."""
@@ -217,7 +265,7 @@ def identity_compare(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").agg(F.countDistinct("p_name").alias("legacy"), F.countDistinct(F.concat_ws("::", "p_name", "p_brand")).alias("current"))
 
 
-@q("snapshot_linkage")
+@q("snapshot_linkage", "SELECT MIN(c_custkey) AS c_custkey, MIN(s_suppkey) AS s_suppkey, CASE COUNT(*) WHEN 1 THEN 'linked' ELSE 'rejected' END AS state FROM customer JOIN supplier ON right(c_name, 9) = right(s_name, 9) GROUP BY right(c_name, 9)")
 def snapshot_linkage(spark: SparkSession, d: str) -> DataFrame:
     """Raw rows and provider identities must match one to one; others are rejected."""
     raw = table(spark, d, "customer").select("c_custkey", F.right("c_name", F.lit(9)).alias("k"))
@@ -302,7 +350,7 @@ def pair_key_filter(spark: SparkSession, d: str) -> DataFrame:
     return p.join(p.where("p_partkey < 60").select("p_name", "p_brand").distinct(), ["p_name", "p_brand"], "left_semi").select("p_partkey")
 
 
-@q("accepted_import")
+@q("accepted_import", "SELECT o_orderkey, o_orderkey % 4 AS file FROM orders WHERE o_orderkey % 3 = 0")
 def accepted_import(spark: SparkSession, d: str) -> DataFrame:
     """One patch record per video; a video in two files is an error."""
     files = table(spark, d, "orders").where("o_orderkey % 3 = 0").select("o_orderkey", (F.col("o_orderkey") % 4).alias("file"))
@@ -338,14 +386,8 @@ def _conflicting_attributes(o: DataFrame) -> DataFrame:
     return o.groupBy("song").agg(F.countDistinct("artist").alias("artists")).where("artists >= 2")
 
 
-@q("conflicting_attributes", f"SELECT song, COUNT(DISTINCT artist) AS artists FROM {OCC} WHERE seconds >= 49 GROUP BY song HAVING COUNT(DISTINCT artist) >= 2")
+@q("conflicting_attributes", f"SELECT song, COUNT(DISTINCT artist) AS artists FROM {OCC} GROUP BY song HAVING COUNT(DISTINCT artist) >= 2")
 def conflicting_attributes(spark: SparkSession, d: str) -> DataFrame:
-    """M03 where seconds >= 49, as its SQL has it; the whole job is conflicting_attributes_all."""
-    return _conflicting_attributes(occurrences(spark, d).where("seconds >= 49"))
-
-
-@q("conflicting_attributes_all", f"SELECT song, COUNT(DISTINCT artist) AS artists FROM {OCC} GROUP BY song HAVING COUNT(DISTINCT artist) >= 2")
-def conflicting_attributes_all(spark: SparkSession, d: str) -> DataFrame:
     """M03."""
     return _conflicting_attributes(occurrences(spark, d))
 
@@ -397,14 +439,8 @@ def _cluster_pairs(p: DataFrame) -> DataFrame:
     return x.join(y, "p_name").where("a < b").withColumn("confidence", F.when(F.left("a", F.lit(7)) == F.left("b", F.lit(7)), 0.9).otherwise(0.45))
 
 
-@q("cluster_pairs", "SELECT p_name, a, b, CASE WHEN left(a, 7) = left(b, 7) THEN 0.9 ELSE 0.45 END::DOUBLE AS confidence FROM (SELECT x.p_name, x.p_brand AS a, y.p_brand AS b FROM (SELECT DISTINCT p_name, p_brand FROM part WHERE p_size = 7) x JOIN (SELECT DISTINCT p_name, p_brand FROM part WHERE p_size = 7) y ON x.p_name = y.p_name AND x.p_brand < y.p_brand)")
+@q("cluster_pairs", "SELECT p_name, a, b, CASE WHEN left(a, 7) = left(b, 7) THEN 0.9 ELSE 0.45 END::DOUBLE AS confidence FROM (SELECT x.p_name, x.p_brand AS a, y.p_brand AS b FROM (SELECT DISTINCT p_name, p_brand FROM part) x JOIN (SELECT DISTINCT p_name, p_brand FROM part) y ON x.p_name = y.p_name AND x.p_brand < y.p_brand)")
 def cluster_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """M17 where p_size = 7, as its SQL has it; the whole job is cluster_pairs_all."""
-    return _cluster_pairs(table(spark, d, "part").where("p_size = 7"))
-
-
-@q("cluster_pairs_all", "SELECT p_name, a, b, CASE WHEN left(a, 7) = left(b, 7) THEN 0.9 ELSE 0.45 END::DOUBLE AS confidence FROM (SELECT x.p_name, x.p_brand AS a, y.p_brand AS b FROM (SELECT DISTINCT p_name, p_brand FROM part) x JOIN (SELECT DISTINCT p_name, p_brand FROM part) y ON x.p_name = y.p_name AND x.p_brand < y.p_brand)")
-def cluster_pairs_all(spark: SparkSession, d: str) -> DataFrame:
     """Artists of one title, scored in pairs."""
     return _cluster_pairs(table(spark, d, "part"))
 

@@ -125,7 +125,10 @@ def outer_merge(spark: SparkSession, d: str) -> DataFrame:
 def rank_diff(spark: SparkSession, d: str) -> DataFrame:
     """Ranks of two versions, side by side."""
     n = occurrences(spark, d).withColumn("y", F.year("played")).where("y IN (1997, 1998)").groupBy("y", "artist").agg(count().alias("n"))
-    r = n.withColumn("rank", F.rank().over(Window.partitionBy("y").orderBy(F.desc("n"))).cast("bigint"))
+    # Ranks come from the few distinct counts.
+    before = Window.partitionBy("y").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = n.groupBy("y", "n").agg(count().alias("c")).select("y", "n", (F.coalesce(F.sum("c").over(before), F.lit(0)) + 1).alias("rank"))
+    r = n.join(ranks, ["y", "n"])
     a, b = r.where("y = 1998").select("artist", "rank"), r.where("y = 1997").select("artist", F.col("rank").alias("before"))
     return a.join(b, "artist", "left").withColumn("delta", F.col("before") - F.col("rank"))
 
@@ -142,21 +145,9 @@ def alias_canonicalize(spark: SparkSession, d: str) -> DataFrame:
 
 @q(
     "membership_flag",
-    "WITH w AS (SELECT DISTINCT doc_id, UNNEST(regexp_extract_all(lower(text), '[a-z]{9,}')) AS w FROM documents WHERE lang = 'en' AND n_chars < 1500), b AS (SELECT DISTINCT UNNEST(regexp_extract_all(lower(text), '[a-z]{9,}')) AS w FROM benchmark) SELECT doc_id, NOT bool_or(b.w IS NOT NULL) AS niche FROM w LEFT JOIN b USING (w) GROUP BY doc_id",
-)
-def membership_flag(spark: SparkSession, d: str) -> DataFrame:
-    """D15 on short en documents that have keys, as its SQL has it; the whole job is membership_flag_all."""
-    keys = lambda df, *cols: df.select(*cols, F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{9,}"), F.lit(0))).alias("w")).distinct()
-    w = keys(table(spark, d, "documents").where("lang = 'en' AND n_chars < 1500"), "doc_id")
-    b = keys(table(spark, d, "benchmark")).withColumn("known", F.lit(True))
-    return w.join(b, "w", "left").groupBy("doc_id").agg((~F.bool_or(F.coalesce("known", F.lit(False)))).alias("niche"))
-
-
-@q(
-    "membership_flag_all",
     "WITH w AS (SELECT DISTINCT doc_id, UNNEST(regexp_extract_all(lower(text), '[a-z]{9,}')) AS w FROM documents), b AS (SELECT DISTINCT UNNEST(regexp_extract_all(lower(text), '[a-z]{9,}')) AS w FROM benchmark), k AS (SELECT DISTINCT doc_id FROM w JOIN b USING (w)) SELECT d.doc_id, k.doc_id IS NULL AS niche FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN k ON d.doc_id = k.doc_id",
 )
-def membership_flag_all(spark: SparkSession, d: str) -> DataFrame:
+def membership_flag(spark: SparkSession, d: str) -> DataFrame:
     """A flag for every document; niche if no candidate key is in the library, or it has none."""
     keys = lambda df, *cols: df.select(*cols, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{9,}"), F.lit(0)))).alias("w"))
     docs = table(spark, d, "documents").select("doc_id", "text")
@@ -186,14 +177,8 @@ def _shared_item_pairs(o: DataFrame) -> DataFrame:
     return a.withColumnRenamed("artist", "a").join(b, "song").where("a < b").groupBy("a", "b").agg(F.countDistinct("song").alias("songs"))
 
 
-@q("shared_item_pairs", f"SELECT a.artist AS a, b.artist AS b, COUNT(DISTINCT a.song) AS songs FROM (SELECT DISTINCT artist, song FROM {OCC} WHERE seconds = 50) a JOIN (SELECT DISTINCT artist, song FROM {OCC} WHERE seconds = 50) b ON a.song = b.song AND a.artist < b.artist GROUP BY ALL")
+@q("shared_item_pairs", f"SELECT a.artist AS a, b.artist AS b, COUNT(DISTINCT a.song) AS songs FROM (SELECT DISTINCT artist, song FROM {OCC}) a JOIN (SELECT DISTINCT artist, song FROM {OCC}) b ON a.song = b.song AND a.artist < b.artist GROUP BY ALL")
 def shared_item_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """D17 where seconds = 50, as its SQL has it; the whole job is shared_item_pairs_all."""
-    return _shared_item_pairs(occurrences(spark, d).where("seconds = 50"))
-
-
-@q("shared_item_pairs_all", f"SELECT a.artist AS a, b.artist AS b, COUNT(DISTINCT a.song) AS songs FROM (SELECT DISTINCT artist, song FROM {OCC}) a JOIN (SELECT DISTINCT artist, song FROM {OCC}) b ON a.song = b.song AND a.artist < b.artist GROUP BY ALL")
-def shared_item_pairs_all(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of artists that share a song."""
     return _shared_item_pairs(occurrences(spark, d))
 
@@ -242,21 +227,8 @@ def containment_check(spark: SparkSession, d: str) -> DataFrame:
     return late.join(table(spark, d, "part").where("p_partkey % 97 <> 0"), F.col("song") == F.col("p_partkey"), "left_anti").agg(count().alias("missing"))
 
 
-@q(
-    "asof_lineage",
-    "SELECT e.event_id, r.o_orderkey AS revision FROM (SELECT event_id, event_id % 500 AS at FROM events WHERE event_id < 2000) e LEFT JOIN (SELECT o_orderkey, LEAD(o_orderkey) OVER (ORDER BY o_orderkey) AS until FROM orders WHERE o_orderkey % 7 = 3 AND o_orderkey < 500) r ON e.at >= r.o_orderkey AND (r.until IS NULL OR e.at < r.until)",
-)
+@q("asof_lineage", "SELECT e.event_id, r.o_orderkey AS revision FROM events e ASOF LEFT JOIN orders r ON e.event_id >= r.o_orderkey")
 def asof_lineage(spark: SparkSession, d: str) -> DataFrame:
-    """D22 on the first 2000 events and 500 points, as its SQL has it; the whole job is asof_lineage_all."""
-    e = table(spark, d, "events").where("event_id < 2000").select("event_id", (F.col("event_id") % 500).alias("at"), F.lit(1).alias("side"), F.lit(None).cast("bigint").alias("rev"))
-    r = table(spark, d, "orders").where("o_orderkey % 7 = 3 AND o_orderkey < 500").select(F.lit(None).cast("bigint").alias("event_id"), F.col("o_orderkey").alias("at"), F.lit(0).alias("side"), F.col("o_orderkey").alias("rev"))
-    before = Window.partitionBy("lineage").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = e.unionByName(r).withColumn("lineage", F.lit(0))
-    return both.withColumn("revision", F.last("rev", ignorenulls=True).over(before)).where("side = 1").select("event_id", "revision")
-
-
-@q("asof_lineage_all", "SELECT e.event_id, r.o_orderkey AS revision FROM events e ASOF LEFT JOIN orders r ON e.event_id >= r.o_orderkey")
-def asof_lineage_all(spark: SparkSession, d: str) -> DataFrame:
     """The last revision at or before a point, all events in all revisions.
 
     Both sides are dealt to ranges of points. An event takes the last revision of its range, or

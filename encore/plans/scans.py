@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from encore.functions import text as tx
 from encore.operators import core
+from encore.operators.revisions import Conflict, Store
 from encore.plans.common import OCC, count, now, occurrences
 from encore.plans.registry import Registry, table
-from encore.sources import html
+from encore.session import materialized, new_folder
+from encore.sources import html, pages
 from encore.sources.shards import packed
 
 reg = Registry()
@@ -51,10 +53,19 @@ def latest_snapshot_per_day(spark: SparkSession, d: str) -> DataFrame:
     return core.best_per_key(fresh, ["day"], F.desc("ts"), F.asc("event_id")).select("event_id", "day").orderBy(F.desc("day")).limit(14)
 
 
-@q("explode_nested", "SELECT vec_id, idx::BIGINT AS idx, ROUND(x::DOUBLE, 4) AS x FROM (SELECT vec_id, UNNEST(embedding) AS x, GENERATE_SUBSCRIPTS(embedding, 1) - 1 AS idx FROM embeddings) WHERE idx < 4")
+@q("explode_nested", "SELECT vec_id, idx::BIGINT AS idx, ROUND(x::DOUBLE, 4) + 0 AS x FROM (SELECT vec_id, UNNEST(embedding) AS x, GENERATE_SUBSCRIPTS(embedding, 1) - 1 AS idx FROM embeddings)")
 def explode_nested(spark: SparkSession, d: str) -> DataFrame:
     """One row per element of a nested array."""
-    return table(spark, d, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 4)).alias("idx", "x")).select("vec_id", F.col("idx").cast("bigint").alias("idx"), F.round(F.col("x").cast("double"), 4).alias("x"))
+    return table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("idx", "x")).select("vec_id", F.col("idx").cast("bigint").alias("idx"), (F.round(F.col("x").cast("double"), 4) + 0).alias("x"))
+
+
+@q("explode_map", "SELECT user_id, event_type AS keyword, COUNT(*) AS n FROM events GROUP BY ALL")
+def explode_map(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of a map of lists, the key being the keyword, then the items of each."""
+    e = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.collect_list("event_id").alias("items"))
+    nested = e.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "items"))).alias("keywords"))
+    entries = nested.select("user_id", F.explode("keywords").alias("keyword", "items"))
+    return entries.select("user_id", "keyword", F.explode("items").alias("item")).groupBy("user_id", "keyword").agg(count().alias("n"))
 
 
 @q("json_extract_path", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, COALESCE(json_extract_string(props, '$.missing'), 'none') AS missing FROM events")
@@ -91,7 +102,7 @@ def html_strip_tags(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", html.text(F.col("html")).alias("text"))
 
 
-@q("cursor_pages")
+@q("cursor_pages", "SELECT COUNT(*) AS pages, COUNT(*) FILTER (WHERE b.page_id IS NULL) AS ends, CASE COUNT(*) FILTER (WHERE b.page_id IS NULL) WHEN 1 THEN 'complete' WHEN 0 THEN 'cursor-loop' ELSE 'partial' END AS coverage FROM pages a LEFT JOIN pages b ON b.page_id = a.page_id + 1")
 def cursor_pages(spark: SparkSession, d: str) -> DataFrame:
     """Pages followed by their cursors (here: the next id), and the class of coverage."""
     p = table(spark, d, "pages").select("page_id")
@@ -124,17 +135,20 @@ def scan_parquet(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "region").select("r_regionkey", "r_name")
 
 
-@q("snapshot_scan")
+@q("snapshot_scan", "SELECT o_orderstatus, COUNT(*) AS n, strftime(MAX(o_orderdate), '%Y-%m-%d') AS last FROM orders GROUP BY 1")
 def snapshot_scan(spark: SparkSession, d: str) -> DataFrame:
-    """All reads of a query go to one pinned snapshot; Parquet files do not change."""
+    """All reads go to the files that the first look at the table found; what is added later is not seen."""
     o = table(spark, d, "orders")
-    return o.groupBy("o_orderstatus").agg(count().alias("n"), F.max("o_orderdate").alias("last"))
+    pinned = spark.read.schema(o.schema).parquet(*o.inputFiles())
+    n = pinned.groupBy("o_orderstatus").agg(count().alias("n"))
+    last = pinned.groupBy("o_orderstatus").agg(F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("last"))
+    return n.join(last, "o_orderstatus")
 
 
 @q("broadcast_dim_join", "SELECT r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey")
 def broadcast_dim_join(spark: SparkSession, d: str) -> DataFrame:
-    """Reviewed lookup tables of fixed size go to every executor."""
-    return table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name")
+    """Reviewed lookup tables go to every executor where their size allows it, which Spark checks."""
+    return table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name")
 
 
 @q("content_hash", "SELECT doc_id, sha256(text) AS sha256, octet_length(encode(text))::BIGINT AS bytes FROM documents")
@@ -165,13 +179,13 @@ def paged_ranking(spark: SparkSession, d: str) -> DataFrame:
     "shard_pack",
     """WITH RECURSIVE r AS (SELECT source, doc_id, n_chars, ROW_NUMBER() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
        p AS (SELECT source, doc_id, rn, n_chars AS held, 0 AS part FROM r WHERE rn = 1
-         UNION ALL SELECT r.source, r.doc_id, r.rn, CASE WHEN p.held + r.n_chars > 20000 THEN r.n_chars ELSE p.held + r.n_chars END, p.part + CASE WHEN p.held + r.n_chars > 20000 THEN 1 ELSE 0 END
+         UNION ALL SELECT r.source, r.doc_id, r.rn, CASE WHEN p.held + r.n_chars > 200000 THEN r.n_chars ELSE p.held + r.n_chars END, p.part + CASE WHEN p.held + r.n_chars > 200000 THEN 1 ELSE 0 END
          FROM p JOIN r ON r.source = p.source AND r.rn = p.rn + 1)
        SELECT source, doc_id, part::BIGINT AS part FROM p""",
 )
 def shard_pack(spark: SparkSession, d: str) -> DataFrame:
-    """Rows are appended to a part until its bytes would pass the limit."""
-    return packed(table(spark, d, "documents"), "source", "doc_id", "n_chars", 20000)
+    """Rows are appended to a part until its size would pass the limit; a larger row is an error."""
+    return packed(table(spark, d, "documents"), "source", "doc_id", "n_chars", 200_000)
 
 
 @q("page_digest", "SELECT page, COUNT(*) AS n, left(sha256(string_agg(h, chr(10) ORDER BY doc_id)), 12) AS digest FROM (SELECT doc_id, doc_id // 100 AS page, sha256(text) AS h FROM documents) GROUP BY page")
@@ -197,16 +211,20 @@ def changed_rows(spark: SparkSession, d: str) -> DataFrame:
     return both.select(F.coalesce("o_orderkey", "k").alias("o_orderkey"), change.alias("change")).where("change IS NOT NULL")
 
 
-@q("runtime_tables")
+@q("runtime_tables", f"SELECT 'occurrences' AS \"table\", COUNT(*) AS n FROM {OCC} UNION ALL SELECT 'songs', COUNT(DISTINCT song) FROM {OCC} UNION ALL SELECT 'videos', COUNT(DISTINCT video) FROM {OCC} UNION ALL SELECT 'artists', COUNT(DISTINCT artist) FROM {OCC}")
 def runtime_tables(spark: SparkSession, d: str) -> DataFrame:
-    """The tables of a release and their row counts, as a build would commit them."""
+    """The tables of a release, built beside it, put in place by one rename, and read from there."""
     occ = occurrences(spark, d)
     parts = {"occurrences": occ, "songs": occ.select("song").distinct(), "videos": occ.select("video").distinct(), "artists": occ.select("artist").distinct()}
-    out = None
+    folder = new_folder(spark)
     for name, df in parts.items():
-        row = df.agg(count().alias("n")).select(F.lit(name).alias("table"), "n")
-        out = row if out is None else out.unionByName(row)
-    return out
+        df.write.parquet(f"{folder}.tmp/{name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.rename(path(f"{folder}.tmp"), path(folder)):
+        raise OSError("the release could not be put in place")
+    counts = [spark.read.parquet(f"{folder}/{name}").agg(count().alias("n")).select(F.lit(name).alias("table"), "n") for name in parts]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
 
 
 @q("trigram_index", "SELECT gram, COUNT(*) AS postings, COUNT(DISTINCT p_name) AS titles FROM (SELECT DISTINCT p_partkey, p_name, UNNEST([substr(lower(p_name), i::INT, 3) FOR i IN range(1, GREATEST(length(p_name) - 1, 1))]) AS gram FROM part) GROUP BY gram")
@@ -254,11 +272,72 @@ def revision_resolve(spark: SparkSession, d: str) -> DataFrame:
     return core.best_per_key(lineage, ["k"], F.asc("depth")).where("NOT gone").select("k", "p", "depth")
 
 
-@q("review_report")
+@q("review_report", f"SELECT video, '- ' || video || ': ' || string_agg(song::VARCHAR, ', ' ORDER BY song) AS line, SUM(n)::BIGINT AS n FROM (SELECT video, song, COUNT(*) AS n FROM {OCC} WHERE unknown GROUP BY ALL) GROUP BY video")
 def review_report(spark: SparkSession, d: str) -> DataFrame:
-    """Dirty candidates by video, as lines of a report."""
-    bad = occurrences(spark, d).where("unknown").groupBy("video").agg(count().alias("n"), F.array_sort(F.collect_set("song")).alias("songs"))
-    return bad.select("video", F.concat(F.lit("- "), F.col("video").cast("string"), F.lit(": "), F.concat_ws(", ", F.slice("songs", 1, 5).cast("array<string>"))).alias("line"), "n")
+    """Dirty candidates by video, as lines of a report with all their songs."""
+    songs = occurrences(spark, d).where("unknown").groupBy("video", "song").agg(count().alias("n"))
+    bad = songs.groupBy("video").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list("song")).alias("songs"))
+    return bad.select("video", F.concat(F.lit("- "), F.col("video").cast("string"), F.lit(": "), F.concat_ws(", ", F.col("songs").cast("array<string>"))).alias("line"), "n")
+
+
+PAGES_SQL = f"SELECT song, n, (ROW_NUMBER() OVER (ORDER BY n DESC, song) - 1) // 50 + 1 AS page FROM (SELECT song, COUNT(*) AS n FROM {OCC} WHERE {{}} GROUP BY song)"
+
+
+def _pages(o: DataFrame) -> DataFrame:
+    n = o.groupBy("song").agg(count().alias("n"))
+    return core.ordinal(n, [F.desc("n"), F.asc("song")]).select("song", "n", F.ceil(F.col("rank") / 50).cast("bigint").alias("page"))
+
+
+@q("published_pages", PAGES_SQL.format("TRUE"))
+def published_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Ranking pages as files named by digests, with a manifest; read back and verified."""
+    folder = new_folder(spark)
+    manifest, _ = pages.published(folder, _pages(occurrences(spark, d)), "song")
+    return pages.verified(folder, manifest, "song bigint, n bigint", "song").select("song", "n", "page")
+
+
+@q(
+    "changed_pages",
+    f"""WITH a AS (SELECT page, string_agg(song || ':' || n, ',' ORDER BY song) AS h FROM ({PAGES_SQL.format("TRUE")}) GROUP BY page), b AS (SELECT page, string_agg(song || ':' || n, ',' ORDER BY song) AS h FROM ({PAGES_SQL.format("song % 100 < 98 OR song > 150")}) GROUP BY page)
+        SELECT COALESCE(a.page, b.page) AS page, CASE WHEN b.page IS NULL THEN 'pruned' WHEN a.h = b.h THEN 'kept' ELSE 'written' END AS change, COALESCE(b.h, '') AS content FROM a FULL JOIN b ON a.page = b.page""",
+)
+def changed_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Of a second version only changed pages are written, pages that it lacks are deleted; and what is then read."""
+    o, folder = materialized(occurrences(spark, d)), new_folder(spark)
+    first, _ = pages.published(folder, _pages(o), "song")
+    second, done = pages.published(folder, _pages(o.where("song % 100 < 98 OR song > 150")), "song", first)
+    rows = pages.verified(folder, second, "song bigint, n bigint", "song")
+    line = F.struct("song", F.concat_ws(":", "song", "n").alias("line"))
+    content = rows.groupBy("page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda r: r["line"]), ",").alias("content"))
+    return done.join(content, "page", "left").select("page", "change", F.coalesce("content", F.lit("")).alias("content"))
+
+
+@q(
+    "revision_activation",
+    """WITH v AS (SELECT o_orderkey AS k, o_totalprice AS p, 1 AS depth, FALSE AS gone FROM orders UNION ALL SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_totalprice + 1 END, 0, o_orderkey % 10 = 0 FROM orders WHERE o_orderkey % 5 = 0)
+       SELECT k, p, depth::BIGINT AS depth, 3::BIGINT AS activations, 2::BIGINT AS refused FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY k ORDER BY depth) AS rn FROM v) WHERE rn = 1 AND NOT gone""",
+)
+def revision_activation(spark: SparkSession, d: str) -> DataFrame:
+    """Revisions hold what differs from their parent; activations compare and set.
+
+    Refused: a revision of another digest, and one whose parent is no longer active. The last
+    activation is a rollback of a third revision to the second.
+    """
+    k, price = F.col("o_orderkey").alias("k"), F.col("o_totalprice")
+    o, store = table(spark, d, "orders"), Store(spark, new_folder(spark))
+    row = lambda df, p, gone: df.select(k, p.cast("double").alias("p"), gone.alias("gone"))
+    stone = F.col("o_orderkey") % 10 == 0
+    base = store.write("r1", None, row(o, price, F.lit(False)))
+    child = store.write("r2", "r1", row(o.where("o_orderkey % 5 = 0"), F.when(~stone, price + 1), stone))
+    other = store.write("r3", "r1", row(o.where("o_orderkey % 7 = 0"), price + 2, F.lit(False)))
+    store.activate("r1", None, base)
+    refused = 0
+    for revision, parent, digest in (("r2", "r1", base), ("r3", "r1", other), ("r2", "r1", child), ("r2", "r3", child)):
+        try:
+            store.activate(revision, parent, digest)
+        except Conflict:
+            refused += 1
+    return store.resolved("k", "gone").select("k", "p", "depth", F.lit(len(store.activations())).cast("bigint").alias("activations"), F.lit(refused).cast("bigint").alias("refused"))
 
 
 @q("month_stable_keys", "SELECT o_orderkey, left(sha256(o_orderkey::VARCHAR || chr(31) || o_orderstatus), 24) AS id FROM orders")

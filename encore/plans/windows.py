@@ -43,14 +43,8 @@ def _window_over_agg(o: DataFrame) -> DataFrame:
     return g.select("artist", "song", F.row_number().over(Window.partitionBy("artist").orderBy("p", "song")).cast("bigint").alias("rn"))
 
 
-@q("window_over_agg", f"SELECT artist, song, ROW_NUMBER() OVER (PARTITION BY artist ORDER BY MIN(position), song)::BIGINT AS rn FROM {OCC} WHERE seconds = 50 GROUP BY artist, song")
+@q("window_over_agg", f"SELECT artist, song, ROW_NUMBER() OVER (PARTITION BY artist ORDER BY MIN(position), song)::BIGINT AS rn FROM {OCC} GROUP BY artist, song")
 def window_over_agg(spark: SparkSession, d: str) -> DataFrame:
-    """F03 where seconds = 50, as its SQL has it; the whole job is window_over_agg_all."""
-    return _window_over_agg(occurrences(spark, d).where("seconds = 50"))
-
-
-@q("window_over_agg_all", f"SELECT artist, song, ROW_NUMBER() OVER (PARTITION BY artist ORDER BY MIN(position), song)::BIGINT AS rn FROM {OCC} GROUP BY artist, song")
-def window_over_agg_all(spark: SparkSession, d: str) -> DataFrame:
     """F03."""
     return _window_over_agg(occurrences(spark, d))
 
@@ -97,7 +91,14 @@ def gap_sessionize(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("user_id", "session").agg(count().alias("n"), F.min("event_id").alias("first"))
 
 
-@q("greedy_cluster")
+def clusters_sql(width: int) -> str:
+    return f"""WITH RECURSIVE r AS (SELECT video, song, seconds, ROW_NUMBER() OVER (PARTITION BY video, song ORDER BY seconds) AS rn FROM {OCC}),
+        c AS (SELECT video, song, seconds, rn, seconds AS leader FROM r WHERE rn = 1
+          UNION ALL SELECT r.video, r.song, r.seconds, r.rn, CASE WHEN r.seconds - c.leader > {width} THEN r.seconds ELSE c.leader END FROM c JOIN r ON r.video = c.video AND r.song = c.song AND r.rn = c.rn + 1)
+        SELECT video, song, seconds, leader FROM c"""
+
+
+@q("greedy_cluster", clusters_sql(30))
 def greedy_cluster(spark: SparkSession, d: str) -> DataFrame:
     """F08, exact: each row joins the first cluster whose leader is within 30 seconds."""
     o = occurrences(spark, d).select("video", "song", "seconds", "position")
@@ -121,8 +122,9 @@ def reserve_selection(spark: SparkSession, d: str) -> DataFrame:
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     pool = F.when(F.col("event_id") % 1000 == 7, 0).when(F.col("ts") >= F.lit("2024-01-30").cast("timestamp_ntz"), 1).otherwise(2)
     c = table(spark, d, "events").select("event_id", pool.cast("bigint").alias("pool"), us.alias("us"))
-    r = c.withColumn("rn", F.row_number().over(Window.partitionBy("pool").orderBy(F.when(F.col("pool") == 2, F.col("us")).otherwise(-F.col("us")), "event_id")))
-    return r.where((F.col("pool") == 0) | ((F.col("pool") == 1) & (F.col("rn") <= limit - limit // 6)) | ((F.col("pool") == 2) & (F.col("rn") <= limit // 6))).select("event_id", "pool")
+    recent = c.where("pool = 1").orderBy(F.desc("us"), "event_id").limit(limit - limit // 6)
+    backlog = c.where("pool = 2").orderBy("us", "event_id").limit(limit // 6)
+    return c.where("pool = 0").unionByName(recent).unionByName(backlog).select("event_id", "pool")
 
 
 @q("round_robin", "SELECT event_id, event_type FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY event_type ORDER BY event_id) AS rn FROM events) ORDER BY rn, event_type LIMIT 40")
@@ -171,14 +173,8 @@ def _group_paging(o: DataFrame) -> DataFrame:
     return o.join(v, "video", "left_semi").select("video", "song", "position")
 
 
-@q("group_paging", f"WITH v AS (SELECT video FROM {OCC} WHERE song < 50 GROUP BY video ORDER BY MIN(position), video LIMIT 20 OFFSET 20) SELECT video, song, position FROM {OCC} WHERE song < 50 AND video IN (SELECT video FROM v)")
+@q("group_paging", f"WITH v AS (SELECT video FROM {OCC} GROUP BY video ORDER BY MIN(position), video LIMIT 20 OFFSET 20) SELECT video, song, position FROM {OCC} WHERE video IN (SELECT video FROM v)")
 def group_paging(spark: SparkSession, d: str) -> DataFrame:
-    """G03, K07 where song < 50, as its SQL has it; the whole job is group_paging_all."""
-    return _group_paging(occurrences(spark, d).where("song < 50"))
-
-
-@q("group_paging_all", f"WITH v AS (SELECT video FROM {OCC} GROUP BY video ORDER BY MIN(position), video LIMIT 20 OFFSET 20) SELECT video, song, position FROM {OCC} WHERE video IN (SELECT video FROM v)")
-def group_paging_all(spark: SparkSession, d: str) -> DataFrame:
     """Pages of videos, each with all its rows."""
     return _group_paging(occurrences(spark, d))
 
@@ -210,7 +206,7 @@ def relevance_sort(spark: SparkSession, d: str) -> DataFrame:
     name = F.col("p_name")
     p = table(spark, d, "part").where(name.contains("small") | name.contains("ring")).withColumn("tier", F.when(name == "small ring", 0).when(name.startswith("small"), 1).otherwise(2).cast("bigint"))
     j = p.join(songs(spark, d), F.col("song") == F.col("p_partkey"), "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return j.select("p_partkey", "tier", F.row_number().over(Window.orderBy("tier", F.desc("n"), "p_partkey")).cast("bigint").alias("ordinal"))
+    return core.ordinal(j.select("p_partkey", "tier", "n"), [F.asc("tier"), F.desc("n"), F.asc("p_partkey")], "ordinal").drop("n")
 
 
 def _case_ordering(o: DataFrame) -> DataFrame:
@@ -219,14 +215,8 @@ def _case_ordering(o: DataFrame) -> DataFrame:
     return core.ordinal(g, order, "ordinal").select("song", "kind", "ordinal")
 
 
-@q("case_ordering", f"SELECT song, kind, ROW_NUMBER() OVER (ORDER BY kind, CASE WHEN kind = 0 THEN -n ELSE 0 END, CASE WHEN kind = 1 THEN -matched ELSE 0 END, song)::BIGINT AS ordinal FROM (SELECT song, COUNT(*) AS n, COUNT(*) FILTER (WHERE position = 1) AS matched, (song % 2)::BIGINT AS kind FROM {OCC} WHERE song < 200 GROUP BY song)")
+@q("case_ordering", f"SELECT song, kind, ROW_NUMBER() OVER (ORDER BY kind, CASE WHEN kind = 0 THEN -n ELSE 0 END, CASE WHEN kind = 1 THEN -matched ELSE 0 END, song)::BIGINT AS ordinal FROM (SELECT song, COUNT(*) AS n, COUNT(*) FILTER (WHERE position = 1) AS matched, (song % 2)::BIGINT AS kind FROM {OCC} GROUP BY song)")
 def case_ordering(spark: SparkSession, d: str) -> DataFrame:
-    """G08 where song < 200, as its SQL has it; the whole job is case_ordering_all."""
-    return _case_ordering(occurrences(spark, d).where("song < 200"))
-
-
-@q("case_ordering_all", f"SELECT song, kind, ROW_NUMBER() OVER (ORDER BY kind, CASE WHEN kind = 0 THEN -n ELSE 0 END, CASE WHEN kind = 1 THEN -matched ELSE 0 END, song)::BIGINT AS ordinal FROM (SELECT song, COUNT(*) AS n, COUNT(*) FILTER (WHERE position = 1) AS matched, (song % 2)::BIGINT AS kind FROM {OCC} GROUP BY song)")
-def case_ordering_all(spark: SparkSession, d: str) -> DataFrame:
     """Entities by all occurrences, sources by matched ones."""
     return _case_ordering(occurrences(spark, d))
 
@@ -243,14 +233,14 @@ def exists_probe(spark: SparkSession, d: str) -> DataFrame:
     return occurrences(spark, d).where("unknown AND niche").limit(1).agg((count() > 0).alias("found"))
 
 
-@q("fallback_cascade", "SELECT s_suppkey AS id, 'artist' AS via FROM supplier WHERE s_name LIKE '%00007'")
+@q("fallback_cascade", "WITH t AS (SELECT 0 AS priority, p_partkey AS id, 'song' AS via FROM part WHERE p_name = 'no such song' UNION ALL SELECT 1, s_suppkey, 'source' FROM supplier WHERE s_name LIKE '%999999999' UNION ALL SELECT 2, c_custkey, 'channel' FROM customer WHERE c_name LIKE '%00007' UNION ALL SELECT 3, o_orderkey, 'video' FROM orders WHERE o_custkey = 7) SELECT id, via FROM t WHERE priority = (SELECT MIN(priority) FROM t)")
 def fallback_cascade(spark: SparkSession, d: str) -> DataFrame:
-    """The first source of hits that has any."""
-    tries = [table(spark, d, "part").where("p_name = 'no such song'").select(F.col("p_partkey").alias("id"), F.lit("song").alias("via")), table(spark, d, "supplier").where(F.col("s_name").endswith("00007")).select(F.col("s_suppkey").alias("id"), F.lit("artist").alias("via")), table(spark, d, "customer").where(F.col("c_name").endswith("00007")).select(F.col("c_custkey").alias("id"), F.lit("channel").alias("via"))]
+    """Songs, then songs of matched sources, of channels, of videos: the first of the four that has hits."""
+    tries = [table(spark, d, "part").where("p_name = 'no such song'").select(F.col("p_partkey").alias("id"), F.lit("song").alias("via")), table(spark, d, "supplier").where(F.col("s_name").endswith("999999999")).select(F.col("s_suppkey").alias("id"), F.lit("source").alias("via")), table(spark, d, "customer").where(F.col("c_name").endswith("00007")).select(F.col("c_custkey").alias("id"), F.lit("channel").alias("via")), table(spark, d, "orders").where("o_custkey = 7").select(F.col("o_orderkey").alias("id"), F.lit("video").alias("via"))]
     every = tries[0].withColumn("priority", F.lit(0))
     for i, t in enumerate(tries[1:], 1):
         every = every.unionByName(t.withColumn("priority", F.lit(i)))
-    return every.withColumn("first", F.min("priority").over(Window.partitionBy())).where("priority = first").select("id", "via")
+    return every.join(every.agg(F.min("priority").alias("priority")), "priority").select("id", "via")
 
 
 @q("group_newest_first", "SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderdate DESC NULLS LAST, o_orderkey) AS videos FROM (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderdate END AS o_orderdate FROM orders) GROUP BY 1")

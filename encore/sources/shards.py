@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 def packed(rows: DataFrame, bucket: str, key: str, size: str, limit: int) -> DataFrame:
-    """bucket, key and part of each row.
+    """bucket, key and part of each row. A row that is larger than the limit is an error.
 
     The sum starts anew whenever it would pass the limit, which no window frame expresses;
     the rows of a bucket come in order, a batch at a time, and only the sum is kept.
@@ -20,6 +20,8 @@ def packed(rows: DataFrame, bucket: str, key: str, size: str, limit: int) -> Dat
         held: dict = {}
         for p in parts:
             out = []
+            if (p[size] > limit).any():
+                raise ValueError(f"a row of {p[size].max()} is larger than a part of {limit}")
             for b, n in zip(p[bucket], p[size], strict=True):
                 total, part = held.get(b, (0, 0))
                 total, part = (n, part + 1) if total and total + n > limit else (total + n, part)

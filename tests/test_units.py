@@ -1,21 +1,27 @@
+import datetime
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
+import encore.session as session_
+from encore.__main__ import main as probe
 from encore.functions import kana, parsing
 from encore.functions import text as tx
-from encore.operators import core, revisions, search
+from encore.operators import artists, core, revisions, search
+from encore.operators.cache import BoundedCache
 from encore.operators.cluster import greedy_clusters
-from encore.operators.rankings import rankings
+from encore.operators.rankings import rankings, search_rankings
 from encore.session import materialized
-from encore.sources import cursor, html
+from encore.sources import cursor, html, pages
 from encore.sources.shards import packed
 
 
 def test_query_groups():
     assert search.parse_query('a AND "b c" OR d | e') == [["a", "b c"], ["d"], ["e"]]
-    assert search.parse_query("") == []
+    assert search.parse_query("a or 'b c' + d 与 e || f") == [["a"], ["b c", "d", "e", "||", "f"]]
+    assert search.parse_query("") == [] and search.parse_query("or | 或") == []
+    assert search.parse_query(" OR ".join(f"w{i}" for i in range(15))) == [[f"w{i}"] for i in range(15)]
     assert len([t for g in search.parse_query(" ".join(f"w{i}" for i in range(20))) for t in g]) == search.MAX_TERMS
 
 
@@ -67,8 +73,10 @@ def test_greedy_clusters(spark):
 
 
 def test_packed(spark):
-    df = spark.createDataFrame([("a", i, 40) for i in range(5)] + [("b", 0, 500)], "b string, k int, n int")
+    df = spark.createDataFrame([("a", i, 40) for i in range(5)] + [("b", 0, 100)], "b string, k int, n int")
     assert sorted((r.b, r.k, r.part) for r in packed(df, "b", "k", "n", 100).collect()) == [("a", 0, 0), ("a", 1, 0), ("a", 2, 1), ("a", 3, 1), ("a", 4, 2), ("b", 0, 0)]
+    with pytest.raises(Exception, match="larger than a part"):
+        packed(df, "b", "k", "n", 99).collect()
 
 
 def test_components(spark):
@@ -99,9 +107,20 @@ def test_entry(spark):
 
 def test_ordinal_over_ranges(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"))
-    for one_task in (10, 5000):
-        got = core.ordinal(df.repartition(5), [F.desc("k")], one_task=one_task).collect()
-        assert sorted((r.k, r["rank"]) for r in got) == [(k, 1000 - k) for k in range(1000)]
+    got = core.ordinal(df.repartition(5), [F.desc("k")]).collect()
+    assert sorted((r.k, r["rank"]) for r in got) == [(k, 1000 - k) for k in range(1000)]
+    assert core.ordinal(df.limit(0), [F.desc("k")]).count() == 0
+
+
+def test_nearest_rank(spark):
+    df = spark.createDataFrame([("a", i * 7 % 101, i) for i in range(101)] + [("b", 5, 0), ("b", 5, 1)], "k string, v int, t int")
+    got = {(r.k, r.p): r.v for r in core.nearest_rank(df, ["k"], "v", "t", (0.0, 0.5, 0.9)).collect()}
+    assert got == {("a", 0.0): 0, ("a", 0.5): 50, ("a", 0.9): 90, ("b", 0.0): 5, ("b", 0.5): 5, ("b", 0.9): 5}
+
+
+def test_first_values(spark):
+    df = spark.createDataFrame([(1, x) for x in "dacbba"] + [(2, "z")], "k int, v string")
+    assert {r.k: r["values"] for r in core.first_values(df, ["k"], "v", 3).collect()} == {1: ["a", "b", "c"], 2: ["z"]}
 
 
 def test_cursor_walks():
@@ -121,16 +140,94 @@ def test_cursor_source(spark):
     assert sorted(map(tuple, got.collect())) == [("a", '{"id": 1}', "complete"), ("a", '{"id": 2}', "complete"), ("c", '{"id": 3}', "partial")]
 
 
-def test_activation(tmp_path):
-    for name, parent in (("r1", None), ("r2", "r1"), ("r3", "r1")):
-        (tmp_path / f"{name}.json").write_text(json.dumps({"digest": f"d-{name}", "parent": parent}))
-    revisions.activate(tmp_path, "r1", None, "d-r1")
-    revisions.activate(tmp_path, "r2", "r1", "d-r2")
-    for bad in (("r3", "r1", "d-r3"), ("r3", "r2", "other")):
+def test_activation(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", False), (2, "b", False)], "k int, v string, gone boolean")
+    store = revisions.Store(spark, f"file://{tmp_path}/store")
+    first = store.write("r1", None, rows)
+    second = store.write("r2", "r1", spark.createDataFrame([(1, "new", False), (2, None, True)], rows.schema))
+    third = store.write("r3", "r1", rows.limit(1))
+    with pytest.raises(revisions.Conflict):
+        store.resolved("k", "gone")
+    store.activate("r1", None, first)
+    store.activate("r2", "r1", second)
+    for bad in (("r3", "r1", third), ("r3", "r2", first), ("draft", "r2", first)):
         with pytest.raises(revisions.Conflict):
-            revisions.activate(tmp_path, *bad)
-    assert revisions.active(tmp_path)["revision"] == "r2" and revisions.lineage(tmp_path, "r2") == ["r2", "r1"]
-    revisions.activate(tmp_path, "r1", "r2", "d-r1")  # a rollback
-    (tmp_path / "r1.json").write_text(json.dumps({"digest": "d", "parent": "r2"}))
+            store.activate(*bad)
+    assert store.active() == "r2" and store.lineage("r2") == ["r2", "r1"]
+    assert [tuple(r) for r in store.resolved("k", "gone").collect()] == [(1, "new", 0)]
+    with pytest.raises(revisions.Conflict):
+        store._put("r2.json", {})
+    store.activate("r1", "r2", first)  # a rollback
+    assert sorted((r.k, r.v) for r in store.resolved("k", "gone").collect()) == [(1, "a"), (2, "b")]
+    store._put("x.json", {"parent": "y", "digest": ""}), store._put("y.json", {"parent": "x", "digest": ""})
     with pytest.raises(revisions.Conflict):
-        revisions.lineage(tmp_path, "r1")
+        store.lineage("x")
+
+
+def test_pages(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 1, "a"), (1, 2, None), (2, 3, "c"), (3, 4, "d")], "page bigint, k int, v string")
+    folder = f"file://{tmp_path}/pages"
+    first, _ = pages.published(folder, rows, "k")
+    new = rows.where("page < 3").withColumn("v", F.when(F.col("k") == 3, "changed").otherwise(F.col("v")))
+    before = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("part-*.json")}
+    second, done = pages.published(folder, new, "k", first)
+    assert sorted(map(tuple, done.collect())) == [(1, "kept"), (2, "written"), (3, "pruned")]
+    after = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("part-*.json")}
+    assert len(after) == 2 and [p for p in after if "page=1/" in str(p)] == [p for p in after if after[p] == before.get(p)]
+    read = pages.verified(folder, second, "k int, v string", "k")
+    assert sorted((r.page, r.k, r.v) for r in read.collect()) == [(1, 1, "a"), (1, 2, None), (2, 3, "changed")]
+    with pytest.raises(ValueError):
+        pages.verified(folder, first, "k int, v string", "k")
+    empty, _ = pages.published(f"{folder}-empty", rows.limit(0), "k")
+    assert empty.count() == 0
+
+
+def test_typo_targets(spark):
+    rows = [("t", "Brand#12", 1), ("t", "Brand#13", 3), ("t", "Brand#99", 1), ("u", "Brand#12", 1), ("u", "Brand#13", 2), ("v", "Brand#12", 1), ("v", "Brand#13", 3), ("v", "Brand#1", 4), ("w", "abcde", 1), ("w", "abcdf", 9), ("x", "Brand12", 1), ("x", "Brand#12", 3), ("y", "Brand#12", 2), ("y", "Brand#13", 5)]
+    df = spark.createDataFrame(rows, "title string, artist string, n bigint")
+    assert sorted(map(tuple, artists.typo_targets(df).collect())) == [("t", "Brand#12", "Brand#13"), ("x", "Brand12", "Brand#12")]
+    assert sorted(map(tuple, artists.merged(df, artists.typo_targets(df)).where("title = 't'").collect())) == [("t", "Brand#13", 4), ("t", "Brand#99", 1)]
+
+
+def test_partial_targets(spark):
+    rows = [("t", "ring"), ("t", "small ring"), ("u", "ring"), ("u", "small ring"), ("u", "ring two"), ("v", "ri"), ("v", "small ring"), ("w", "ring"), ("w", "a very long name of a ring"), ("x", "mall ring"), ("x", "small ring"), ("y", "one two"), ("y", "one two three")]
+    df = spark.createDataFrame(rows, "title string, artist string")
+    assert sorted(map(tuple, artists.partial_targets(df).collect())) == [("t", "ring", "small ring"), ("y", "one two", "one two three")]
+
+
+def test_rankings_search(spark):
+    t = datetime.datetime(1998, 11, 30)
+    rows = [(1, 1, 1, t, False, False, "red ring", "X", "chan", "vid"), (2, 1, 2, t, True, False, "blue cup", "Y", "other", "ring video"), (1, 2, 3, t - datetime.timedelta(30), False, True, "red ring", "X", "chan", "vid")]
+    df = spark.createDataFrame(rows, "song int, artist int, video int, played timestamp_ntz, niche boolean, unknown boolean, title string, artist_name string, channel string, video_title string")
+    keys = lambda **x: [r.key for r in search_rankings(df, **x).records.collect()]
+    assert keys(q="ring") == [1] and keys(q="blue or red") == [1, 2] and keys(q="chan") == [1] and keys(q="zzz") == []
+    assert keys(q="ring", scope="video") == [2] and keys(q="ring", fields=["title", "video_title"]) == [1, 2]
+    assert keys(niche_only=True) == [2] and keys(min_count=2) == [1] and keys(range_="7d", min_count=2) == []
+    payload = search_rankings(df, q="ring", page_size=1, fields=["title", "video_title"]).payload()
+    assert payload["total"] == 2 and payload["page_count"] == 2 and payload["occurrences"] == 3 and len(payload["records"]) == 1
+    assert search_rankings(df, compact=True).records.columns == ["key", "n", "videos", "rank"]
+    for bad in ({"scope": "x"}, {"range_": "1d"}, {"fields": ["x"]}, {"q": "a"}, {"min_count": 0}):
+        with pytest.raises(ValueError):
+            search_rankings(df, **bad)
+
+
+def test_cli(spark, capsys):
+    payload = probe(["/root/testdata/sf0.001", "--view", "artist", "--q", "ring", "--page-size", "3"])
+    assert len(payload["records"]) == 3 and json.loads(capsys.readouterr().out)["total"] == payload["total"] > 3
+
+
+def test_bounded_cache():
+    cache, made = BoundedCache(entries=2, size=10), []
+    get = lambda k, v: cache.get(k, lambda: made.append(k) or v)
+    assert get("a", "xxx") == get("a", "never") == "xxx" and made == ["a"]
+    get("b", "yyy"), get("a", ""), get("c", "zzz")  # b was used least recently
+    assert list(cache.held) == ["a", "c"] and cache.bytes == 6
+    get("big", "x" * 11), get("d", "x" * 8)
+    assert list(cache.held) == ["d"] and cache.bytes == 8
+
+
+def test_shared_folder(spark):
+    folder = session_.new_folder(spark)
+    assert folder.startswith(session_.shared_folder(spark)) and folder != session_.new_folder(spark)
+    table = session_.materialized(spark.range(10), rows=10)
+    assert table.count() == 10 and len(table.inputFiles()) == 1

@@ -26,32 +26,32 @@ def result(spark, folder, name):
 
 def test_timeline_reads_every_video(spark, folder):
     assert sorted(r.video for r in incremental.timeline_texts(spark, folder).collect()) == [1, 3]
-    assert result(spark, folder, "parse_timeline_all") == [(1, 301, "blue ring", "Brand#1"), (1, 302, "red cup", "Brand#2"), (3, 423, "blue ring", "Brand#1"), (3, 484, "blue ring", "Brand#1"), (3, 485, "blue ring", "Brand#1")]
-    assert result(spark, folder, "rederive_idempotent_all") == [(5, 0)]
+    assert result(spark, folder, "parse_timeline") == [(1, 301, "blue ring", "Brand#1"), (1, 302, "red cup", "Brand#2"), (3, 423, "blue ring", "Brand#1"), (3, 484, "blue ring", "Brand#1"), (3, 485, "blue ring", "Brand#1")]
+    assert result(spark, folder, "rederive_idempotent") == [(5, 0)]
 
 
 def test_accents_after_the_preview(spark, tmp_path):
     spark.createDataFrame([(1, "x" * 300 + "é", "en"), (2, "à", "fr")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert result(spark, str(tmp_path), "strip_accents_all") == [(1, "x" * 300 + "e"), (2, "a")]
+    assert result(spark, str(tmp_path), "strip_accents") == [(1, "x" * 300 + "e"), (2, "a")]
 
 
 def test_songs_of_one_second_stay(spark, folder):
-    assert result(spark, folder, "same_second_dedupe_all") == [(1, 5, 900, 1, 1), (1, 5, 901, 2, 2), (3, 7, 900, 2, 3), (3, 8, 900, 1, 4)]
+    assert result(spark, folder, "same_second_dedupe") == [(1, 5, 900, 1, 1), (1, 5, 901, 2, 2), (3, 7, 900, 2, 3), (3, 8, 900, 1, 4)]
 
 
 @pytest.mark.parametrize(
     ("name", "rows"),
     [
-        ("fold_unknown_all", [(900, 1, 5), (901, 2, 1)]),
-        ("search_totals_all", [(2, 6, 4)]),
-        ("case_ordering_all", [(900, 0, 1), (901, 1, 2)]),
-        ("shared_item_pairs_all", [(1, 2, 1)]),
-        ("window_over_agg_all", [(1, 900, 1), (2, 901, 1), (2, 900, 2)]),
-        ("nested_collect_all", [(1, "900:4"), (2, "900:1,901:1")]),
-        ("singleton_stats_all", [(900, 5, 2, False), (901, 1, 1, True)]),
-        ("bool_aggs_all", [(900, True, True), (901, False, False)]),
-        ("conflicting_attributes_all", [(900, 2)]),
-        ("cluster_pairs_all", [("blue ring", "Brand#1", "Brand#2", 0.45)]),
+        ("fold_unknown", [(900, 1, 5), (901, 2, 1)]),
+        ("search_totals", [(2, 6, 4)]),
+        ("case_ordering", [(900, 0, 1), (901, 1, 2)]),
+        ("shared_item_pairs", [(1, 2, 1)]),
+        ("window_over_agg", [(1, 900, 1), (2, 901, 1), (2, 900, 2)]),
+        ("nested_collect", [(1, "900:4"), (2, "900:1,901:1")]),
+        ("singleton_stats", [(900, 5, 2, False), (901, 1, 1, True)]),
+        ("bool_aggs", [(900, True, True), (901, False, False)]),
+        ("conflicting_attributes", [(900, 2)]),
+        ("cluster_pairs", [("blue ring", "Brand#1", "Brand#2", 0.45)]),
     ],
 )
 def test_whole_tables(spark, tmp_path, name, rows):
@@ -63,14 +63,14 @@ def test_whole_tables(spark, tmp_path, name, rows):
 
 def test_pages_of_all_songs(spark, tmp_path):
     spark.createDataFrame([(v, 900 + v, 1, 1, 5.0, "R", "O", DAY) for v in range(60)], LINE).write.parquet(f"{tmp_path}/lineitem.parquet")
-    assert result(spark, str(tmp_path), "group_paging_all") == [(v, 900 + v, 1) for v in range(20, 40)]
+    assert result(spark, str(tmp_path), "group_paging") == [(v, 900 + v, 1) for v in range(20, 40)]
 
 
 def test_every_document_has_a_flag(spark, tmp_path):
     docs = [(1, "benchmarks", "de", 10), (2, "something " * 400, "en", 4000), (3, "short", "en", 5), (4, None, "fr", 0)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "Benchmarks")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    assert result(spark, str(tmp_path), "membership_flag_all") == [(1, False), (2, True), (3, True), (4, True)]
+    assert result(spark, str(tmp_path), "membership_flag") == [(1, False), (2, True), (3, True), (4, True)]
 
 
 def test_all_events_in_all_revisions(spark, tmp_path):
@@ -79,5 +79,5 @@ def test_all_events_in_all_revisions(spark, tmp_path):
     spark.createDataFrame([(x,) for x in points], "event_id long").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
     spark.createDataFrame([(x,) for x in revisions], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
     want = {x: max((r for r in revisions if r <= x), default=None) for x in points}
-    got = catalog.queries()["asof_lineage_all"](spark, str(tmp_path)).collect()
+    got = catalog.queries()["asof_lineage"](spark, str(tmp_path)).collect()
     assert len(got) == len(points) and {r.event_id: r.revision for r in got} == want
