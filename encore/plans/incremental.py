@@ -216,7 +216,7 @@ def aggregated_by(rows: DataFrame, keys: dict[str, tuple[str, Callable]]) -> Dat
     return rows.groupBy(*(column(name, make).alias(k) for k, (name, make) in keys.items())).agg(count().alias("n"))
 
 
-@q("accumulators", f"SELECT song, string_agg(artist || '=' || n, ',' ORDER BY artist) AS counts, MAX(bounded) AS bounded FROM (SELECT song, artist, COUNT(*) AS n FROM {OCC} GROUP BY ALL) JOIN (SELECT song, string_agg(artist::VARCHAR, ' ' ORDER BY artist) AS bounded FROM (SELECT song, artist, ROW_NUMBER() OVER (PARTITION BY song ORDER BY artist) AS rn, SUM(length(artist::VARCHAR) + 1) OVER (PARTITION BY song ORDER BY artist) AS chars FROM (SELECT DISTINCT song, artist FROM {OCC})) WHERE rn <= 8 AND chars <= 12 GROUP BY song) USING (song) GROUP BY song")
+@q("accumulators", f"SELECT song, string_agg(artist || '=' || n, ',' ORDER BY artist) AS counts, MAX(bounded) AS bounded FROM (SELECT song, artist, COUNT(*) AS n FROM {OCC} GROUP BY ALL) JOIN (SELECT song, string_agg(artist::VARCHAR, ' ' ORDER BY artist) AS bounded FROM (SELECT song, artist, ROW_NUMBER() OVER (PARTITION BY song ORDER BY artist) AS rn, SUM(length(artist::VARCHAR) + 1) OVER (PARTITION BY song ORDER BY artist) AS chars FROM (SELECT DISTINCT song, artist FROM {OCC})) WHERE rn <= 8 AND chars <= 13 GROUP BY song) USING (song) GROUP BY song")
 def accumulators(spark: SparkSession, d: str) -> DataFrame:
     """A map of counts, and a text of at most eight names and twelve signs, per key."""
     o = occurrences(spark, d)
