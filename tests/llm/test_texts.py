@@ -357,6 +357,45 @@ def test_search_brute_force(spark, monkeypatch):
         assert [(k, -s) for s, k in sorted(want)[:5]] == [(k, pytest.approx(s, abs=2e-6)) for _, k, s in sorted(got[q])], q
 
 
+@pytest.mark.parametrize("dense", [0.0, 0.01, 9.0])
+def test_search_shard_blocks(tmp_path, monkeypatch, dense):
+    """Many blocks and shards, warm thresholds, ties among copies: equal to a full sort."""
+    monkeypatch.setattr(search, "BLOCK", 16)
+    monkeypatch.setattr(search, "DENSE", dense)
+    rng = np.random.default_rng(4)
+    vocabulary = np.sort(rng.integers(0, 2**64, 300, dtype=np.uint64))
+    texts = [vocabulary[np.minimum(rng.zipf(1.4, rng.integers(0, 60)), 300) - 1] for _ in range(300)]
+    texts[100:140] = [texts[7]] * 40
+    mean = float(np.mean([len(t) for t in texts]))
+    shards = []
+    for i, low in enumerate((0, 110, 230)):
+        builder = search.ShardBuilder()
+        for k in range(low, (110, 230, 300)[i]):
+            builder.add([None if k % 50 == 49 else k - 20], texts[k], np.array([0, len(texts[k])]))
+        np.savez(tmp_path / f"{i}.npz", **{k: v for k, v in builder.arrays().items() if k != "df"})
+        shards.append(search.Shard(f"file://{tmp_path}/{i}.npz", mean))
+    asked = [7, *range(0, 300, 11)]
+    pairs = sorted((int(t), q) for q, k in enumerate(asked) for t in np.unique(texts[k]))
+    query, every = np.array([q for _, q in pairs]), np.array([t for t, _ in pairs], np.uint64)
+    df = collections.Counter(int(t) for x in texts for t in np.unique(x))
+    weight = np.array([math.log1p((300 - df[int(t)] + 0.5) / (df[int(t)] + 0.5)) for t in every])
+    term, which = np.unique(every, return_inverse=True)
+    best, found = np.zeros((len(asked), 5)), np.full((len(asked), 5), np.iinfo(np.int64).max)
+    for shard in shards:
+        search.search_shard(shard, query, term, which, weight, best, found, 5)
+    counts = [collections.Counter(x.tolist()) for x in texts]
+    for q in range(len(asked)):
+        mine = {int(t): w for t, w, x in zip(every, weight, query, strict=True) if x == q}
+        want = []
+        for k, c in enumerate(counts):
+            score = round(sum(w * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * len(texts[k]) / mean)) for t, w in mine.items() if t in c), 6)
+            if score > 0 and k % 50 != 49:
+                want.append((-score, k - 20))
+        want = sorted(want)[:5]
+        assert found[q][best[q] > 0].tolist() == [k for _, k in want]
+        assert best[q][best[q] > 0] == pytest.approx([-s for s, _ in want], abs=2e-6)
+
+
 def test_search_empty(spark):
     df = spark.createDataFrame([(1, "!")], "doc_id long, text string")
     assert search.top_k(df, df).count() == 0 and search.top_k(df.limit(0), df).count() == 0
