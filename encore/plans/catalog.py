@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from encore.plans.registry import Query, Registry
 
-from encore.plans import aggregates, entities, filters, incremental, joins, scalars, scans, windows  # noqa: E402
+from encore.plans import aggregates, entities, filters, incremental, joins, repairs, scalars, scans, windows  # noqa: E402
 
-ALL: list[Registry] = [scans.reg, filters.reg, joins.reg, aggregates.reg, windows.reg, entities.reg, scalars.reg, incremental.reg]
+ALL: list[Registry] = [scans.reg, filters.reg, joins.reg, aggregates.reg, windows.reg, entities.reg, repairs.reg, scalars.reg, incremental.reg]
 
 
 def queries() -> dict[str, Query]:

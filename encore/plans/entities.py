@@ -206,41 +206,6 @@ def canonical_pick(spark: SparkSession, d: str) -> DataFrame:
     return n.groupBy("p_brand").agg(F.min_by("p_name", F.struct(-F.col("n"), F.length("p_name"), "p_name")).alias("name"))
 
 
-@q("catalog_gate", "SELECT p_partkey, CASE WHEN p_brand <> 'Brand#5' THEN 'other' WHEN p_name IN (SELECT p_name FROM part WHERE p_partkey < 50) THEN 'published' ELSE 'archived' END AS state FROM part")
-def catalog_gate(spark: SparkSession, d: str) -> DataFrame:
-    """An artist's titles must be in the official catalogue."""
-    p = table(spark, d, "part")
-    official = p.where("p_partkey < 50").select("p_name").distinct().withColumn("official", F.lit(True))
-    return p.join(official, "p_name", "left").select("p_partkey", F.when(F.col("p_brand") != "Brand#5", "other").when(F.col("official"), "published").otherwise("archived").alias("state"))
-
-
-@q("catalog_canonicalize", "SELECT p_partkey, COALESCE(c.canonical, p_name) AS name FROM part LEFT JOIN (SELECT reverse(p_name) AS k, MIN(p_name) AS canonical FROM part WHERE p_partkey < 100 GROUP BY 1) c ON c.k = reverse(p_name)")
-def catalog_canonicalize(spark: SparkSession, d: str) -> DataFrame:
-    """H23."""
-    p = table(spark, d, "part")
-    c = p.where("p_partkey < 100").groupBy(F.reverse("p_name").alias("k")).agg(F.min("p_name").alias("canonical"))
-    return p.join(c, F.reverse("p_name") == F.col("k"), "left").select("p_partkey", F.coalesce("canonical", "p_name").alias("name"))
-
-
-@q("credit_repair", "SELECT o_orderkey, CASE WHEN regexp_matches(raw, '^[0-9]{4}-[0-9]{2}-[0-9]{2} ') THEN regexp_extract(raw, '^[0-9-]{10} (.*) / (.*)$', 1) ELSE regexp_extract(raw, '^(.*) / (.*)$', 1) END AS title FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') || ' ' ELSE '' END || o_orderpriority || ' / ' || o_custkey AS raw FROM orders)")
-def credit_repair(spark: SparkSession, d: str) -> DataFrame:
-    """Credits with and without a date."""
-    raw = F.concat(F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" "))).otherwise(""), "o_orderpriority", F.lit(" / "), F.col("o_custkey").cast("string"))
-    dated = F.col("raw").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2} ")
-    title = F.when(dated, F.regexp_extract("raw", "^[0-9-]{10} (.*) / (.*)$", 1)).otherwise(F.regexp_extract("raw", "^(.*) / (.*)$", 1))
-    return table(spark, d, "orders").select("o_orderkey", raw.alias("raw")).select("o_orderkey", title.alias("title"))
-
-
-@q("best_split", "SELECT p_partkey, CASE WHEN split_part(p_name, ' ', 2) IN ('ring', 'widget') THEN split_part(p_name, ' ', 2) ELSE split_part(p_name, ' ', 1) END AS title FROM part")
-def best_split(spark: SparkSession, d: str) -> DataFrame:
-    """Of all splits, the one whose title is known."""
-    known = F.array(F.lit("ring"), F.lit("widget"))
-    splits = F.split("p_name", " ")
-    scored = F.transform(F.sequence(F.lit(0), F.lit(1)), lambda i: F.struct(F.array_contains(known, F.get(splits, i)).cast("int").alias("score"), (-i).alias("at")))
-    best = F.array_max(scored)
-    return table(spark, d, "part").select("p_partkey", F.get(splits, -best["at"]).alias("title"))
-
-
 @q("apply_overrides", "SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN 'replaced' ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey % 11 <> 0 OR o_orderkey % 7 = 0")
 def apply_overrides(spark: SparkSession, d: str) -> DataFrame:
     """force_keep is stronger than drop, drop than replace."""
