@@ -59,7 +59,7 @@ def undated(title: Column, artist: Column, raw: Column) -> Parsed:
 def by_columns(title: Column, artist: Column, raw: Column) -> Parsed:
     """Lines of fixed columns: title, artist, work and year."""
     body = F.trim(F.regexp_replace(raw, r"^\s*[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?\s+", ""))
-    fields = F.filter(F.transform(F.split(body, "／"), F.trim), lambda f: f != "")
+    fields = F.filter(F.transform(F.split(body, "／"), lambda f: F.trim(f)), lambda f: f != "")
     field = [F.get(fields, i) for i in range(4)]
     follows = (title == field[0]) | title.startswith(F.concat(field[0], F.lit("／"))) | (artist == F.array_join(F.slice(fields, 2, 3), "／")) | (artist == field[3]) | artist.endswith(F.concat(F.lit("／"), field[3]))
     four = (F.size(fields) == 4) & field[3].rlike(r"^.+\s*[（(](?:19|20)[0-9]{2}[）)]$") & field[2].rlike(COLUMN_WORK) & follows
