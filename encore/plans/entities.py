@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from encore.functions import kana
 from encore.functions import text as tx
 from encore.operators import artists, core
 from encore.operators.cluster import greedy_clusters
 from encore.plans.common import OCC, count, occurrences
 from encore.plans.registry import Registry, table
 from encore.plans.windows import clusters_sql
+from encore.session import materialized
 
 reg = Registry()
 q = reg.register
@@ -125,14 +125,46 @@ def curated_alias(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").join(F.broadcast(aliases), "p_type", "left").groupBy(F.coalesce("canonical", "p_type").alias("kind")).agg(count().alias("n"))
 
 
-KANA_NAMES = [("t", "さくら", 3), ("t", "SAKURA Miko", 2), ("t", "しょうじょ", 1), ("t", "shoujotai", 4), ("t", "ほし", 1), ("t", "hoshino", 2), ("t", "きょうと", 2), ("t", "kyouto", 1), ("t", "kyouto band", 1), ("u", "さくら", 1), ("u", "Hana", 1)]
+#: Names and counts of a title, what becomes of them, by the remainder of the part's key; T is the part's name.
+KANA_FORMS = (
+    ((("さくら", 3), ("SAKURA T", 2)), (("さくら", 5),)),
+    ((("しょうじょ", 1), ("shoujotai", 4)), (("shoujotai", 5),)),
+    ((("きょうと", 2), ("kyouto", 1), ("kyouto T", 1)), (("きょうと", 4),)),
+    ((("いえ", 1), ("ie T", 1)), (("いえ", 1), ("ie T", 1))),
+    ((("さくら", 1), ("Hana", 1)), (("さくら", 1), ("Hana", 1))),
+    ((("ほしの", 2), ("ホシノ", 2), ("hoshino", 2), ("T hoshino", 2)), (("ほしの", 2), ("ホシノ", 2), ("hoshino", 2), ("T hoshino", 2))),
+)
+PARTIAL_FORMS = (
+    ((("T", 3), ("T band", 1)), (("T", 4),)),
+    ((("T", 1), ("T band", 1), ("T two", 1)), (("T", 3),)),
+    ((("T", 1), ("T & band", 5)), (("T", 1), ("T & band", 5))),
+    ((("さくら音楽", 1), ("さくら音楽隊", 2)), (("さくら音楽隊", 3),)),
+    ((("さくら", 1), ("さくら隊", 2)), (("さくら", 1), ("さくら隊", 2))),
+    ((("cover", 1), ("cover band", 2)), (("cover", 1), ("cover band", 2))),
+    ((("ring", 1), ("ring of a very long name", 2)), (("ring", 1), ("ring of a very long name", 2))),
+    ((("T", 2), ("xT", 1)), (("T", 2), ("xT", 1))),
+    ((("T", 2), ("T feat. U", 1)), (("T", 2), ("T feat. U", 1))),
+    ((("T", 1), ("U T", 4), ("T-live", 9)), (("T-live", 14),)),
+)
+
+
+def forms_sql(forms: tuple, side: int) -> str:
+    rows = ", ".join(f"({i}, '{a}', {n})" for i, form in enumerate(forms) for a, n in form[side])
+    return f"SELECT p_partkey::VARCHAR AS title, replace(a, 'T', p_name) AS artist, n::BIGINT AS n FROM part JOIN (VALUES {rows}) v(i, a, n) ON p_partkey % {len(forms)} = i"
+
+
+def names_of_forms(spark: SparkSession, d: str, forms: tuple) -> DataFrame:
+    """Records of a title for every part, in the form of its key."""
+    lists = F.array(*(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(n).cast("bigint").alias("n")) for a, n in form[0])) for form in forms))
+    x = table(spark, d, "part").select("p_partkey", "p_name", F.explode(F.get(lists, (F.col("p_partkey") % len(forms)).cast("int"))).alias("x"))
+    return x.select(F.col("p_partkey").cast("string").alias("title"), F.replace("x.a", F.lit("T"), "p_name").alias("artist"), F.col("x.n").alias("n"))
 
 
-@q("romaji_merge", "SELECT * FROM (VALUES ('t', 'SAKURA Miko', 5::BIGINT), ('t', 'shoujotai', 5), ('t', 'hoshino', 3), ('t', 'きょうと', 2), ('t', 'kyouto', 1), ('t', 'kyouto band', 1), ('u', 'さくら', 1), ('u', 'Hana', 1)) v(title, artist, n)")
+@q("romaji_merge", forms_sql(KANA_FORMS, 1))
 def romaji_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Kana names go to the one Latin name of their title that spells, begins or ends so; two such names keep them."""
-    records = spark.createDataFrame(KANA_NAMES, "title string, artist string, n bigint")
-    return artists.merged(records, artists.kana_targets(records))
+    """Kana and Latin names of a title that sound alike merge while one has a single match."""
+    records = names_of_forms(spark, d, KANA_FORMS)
+    return artists.merged(records, artists.dominant_targets(records, artists.kana_pairs(records), materialized))
 
 
 RECORDS_SQL = "(SELECT p_name AS title, p_brand AS artist, COUNT(*) AS n FROM part GROUP BY ALL)"
@@ -161,23 +193,11 @@ def levenshtein_scalar(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.levenshtein(name, other).cast("bigint").alias("d"), (F.levenshtein(name, other, 1) >= 0).alias("within_one"))
 
 
-#: Names of one, two or three words.
-PARTIAL_SQL = "(SELECT p_brand AS title, CASE p_partkey % 4 WHEN 0 THEN split_part(p_name, ' ', 1) WHEN 1 THEN split_part(p_name, ' ', 2) WHEN 2 THEN p_name || ' band' ELSE p_name END AS artist, COUNT(*) AS n FROM part WHERE p_size % 5 = 0 OR p_partkey % 4 < 2 GROUP BY ALL)"
-
-
-@q(
-    "partial_name_merge",
-    f"""WITH r AS {PARTIAL_SQL}, p AS (SELECT a.title, a.artist, b.artist AS target FROM r a JOIN r b ON a.title = b.title AND (starts_with(b.artist, a.artist || ' ') OR ends_with(b.artist, ' ' || a.artist)) AND length(b.artist) <= length(a.artist) * 3.2),
-        t AS (SELECT title, artist, MIN(target) AS target FROM p GROUP BY ALL HAVING COUNT(DISTINCT target) = 1)
-        SELECT r.title, COALESCE(target, r.artist) AS artist, SUM(n)::BIGINT AS n FROM r LEFT JOIN t ON t.title = r.title AND t.artist = r.artist GROUP BY ALL""",
-)
+@q("partial_name_merge", forms_sql(PARTIAL_FORMS, 1))
 def partial_name_merge(spark: SparkSession, d: str) -> DataFrame:
-    """A name joins the one longer name of its title that begins or ends with it, at most 3.2 times as long."""
-    word = F.split("p_name", " ")
-    kind = F.col("p_partkey") % 4
-    name = F.when(kind == 0, word[0]).when(kind == 1, word[1]).when(kind == 2, F.concat("p_name", F.lit(" band"))).otherwise(F.col("p_name"))
-    r = table(spark, d, "part").where("p_size % 5 = 0 OR p_partkey % 4 < 2").groupBy(F.col("p_brand").alias("title"), name.alias("artist")).agg(count().alias("n"))
-    return artists.merged(r, artists.partial_targets(r))
+    """Names that begin or end longer ones of their title merge while one has a single match."""
+    records = names_of_forms(spark, d, PARTIAL_FORMS)
+    return artists.merged(records, artists.dominant_targets(records, artists.partial_pairs(records), materialized))
 
 
 def _fold_unknown(o: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime
+import random
 import json
 
 import pytest
@@ -189,10 +190,36 @@ def test_typo_targets(spark):
     assert sorted(map(tuple, artists.merged(df, artists.typo_targets(df)).where("title = 't'").collect())) == [("t", "Brand#13", 4), ("t", "Brand#99", 1)]
 
 
-def test_partial_targets(spark):
-    rows = [("t", "ring"), ("t", "small ring"), ("u", "ring"), ("u", "small ring"), ("u", "ring two"), ("v", "ri"), ("v", "small ring"), ("w", "ring"), ("w", "a very long name of a ring"), ("x", "mall ring"), ("x", "small ring"), ("y", "one two"), ("y", "one two three")]
+def test_partial_pairs(spark):
+    rows = [("t", "ring"), ("t", "small ring"), ("u", "ring"), ("u", "small ring"), ("u", "ring two"), ("v", "ri"), ("v", "small ri"), ("w", "ring"), ("w", "a very long name of a ring"), ("x", "mall ring"), ("x", "small ring"), ("y", "one two"), ("y", "one two three"), ("z", None), ("z", "")]
     df = spark.createDataFrame(rows, "title string, artist string")
-    assert sorted(map(tuple, artists.partial_targets(df).collect())) == [("t", "ring", "small ring"), ("y", "one two", "one two three")]
+    assert sorted(map(tuple, artists.partial_pairs(df).collect())) == [("t", "ring", "small ring"), ("u", "ring", "ring two"), ("u", "ring", "small ring"), ("y", "one two", "one two three")]
+
+
+def test_winners_as_one_by_one():
+    """The heap against a search from the start after every merge."""
+    rng = random.Random(3)
+    for _ in range(300):
+        names = [chr(97 + i) for i in range(rng.randint(2, 9))]
+        n = {k: rng.randint(1, 4) for k in names}
+        near = {k: set() for k in names}
+        for _ in range(rng.randint(1, 12)):
+            a, b = rng.sample(names, 2)
+            near[a].add(b)
+            near[b].add(a)
+        groups = {k: {k} for k in names}
+        total = dict(n)
+        order = lambda k: (-total[k], k)
+        while True:
+            links = {k: {o for o in groups if o != k and any(near[x] & groups[o] for x in groups[k])} for k in groups}
+            single = [k for k in sorted(groups, key=order) if len(links[k]) == 1]
+            if not single:
+                break
+            winner, loser = sorted((single[0], *links[single[0]]), key=order)
+            groups[winner] |= groups.pop(loser)
+            total[winner] += total.pop(loser)
+        got = artists.winners(n, near)
+        assert {k: got.get(k, k) for k in names} == {x: k for k, g in groups.items() for x in g}
 
 
 def test_rankings_search(spark):
