@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from encore.operators import credits
+from encore.operators import credits, nonsong
 from encore.plans.registry import Registry, table
 
 reg = Registry()
@@ -114,3 +114,52 @@ def catalog_canonicalize(spark: SparkSession, d: str) -> DataFrame:
     """Swapped fields and titles inside others become the official title; others aren't published."""
     rows = table(spark, d, "part").select("p_partkey", forms([t for t, _ in CANONICAL]).alias("title"), forms([a for _, a in CANONICAL]).alias("artist"))
     return credits.canonical(rows, official(spark, d), "Yoru", "p_partkey")
+
+
+#: Title, artist and raw line, and the reasons of the entry and of its line; T and A are the part's.
+ENTRIES = (
+    ("T", "A", "1:02 T / A", None, None),
+    (":_abc: :x1:", "", "1:02 :_abc: :x1:", "emoji_only", "raw_emoji_only"),
+    ("全12曲", "", "1:02 全12曲", "song_total", "raw_song_total"),
+    ("17(土) T", "A", "17(土) T / A", "weekday_schedule", "raw_weekday_schedule"),
+    ("次回は10", "", "次回は10", "next_schedule", "raw_next_schedule"),
+    ("T", "10/17", "1:02 T / A", "date_as_artist", None),
+    ("18:30開演", "", "", "clock_marker", None),
+    ("9/12", "unknown", "1:02 9/12", "date_alone", "raw_date_alone"),
+    ("9/12", "A", "1:02 9/12 / A", None, None),
+    ("T:17:30開場", "A", "", "timetable", None),
+    ("T【10/17 8:30まで】", "A", "", "deadline", None),
+    ("9/17 ~ 9", "A", "", "date_range", None),
+    ("現地はスタンディング禁止", "A", "", "seating", None),
+    ("スタンディング", "A", "", None, None),
+    ("待機中", "A", "", "standby", None),
+    ("T発売中", "A", "", "sale", None),
+    ("販売期間:2026/10", "A", "", "sale_period", None),
+    ("雑談", "A", "1:02 雑談 / A", "marker", "raw_marker"),
+    ("雑談", "A", "1:02 T / A", "marker", None),
+    ("自己紹介", "", "", "introduction", None),
+    ("自己紹介", "A", "1:02 自己紹介 / A", None, None),
+    ("T", "A", "1:02 チャンネル登録 / A", "stream_event", "raw_stream_event"),
+    ("T", "", "1:02 T おすすめ", "remark", "raw_remark"),
+    ("T", "A", "1:02 T おすすめ / A", None, None),
+    ("こんばんは〜", "", "1:02 こんばんは〜", "greeting", "raw_greeting"),
+    ("こんばんは〜", "A", "1:02 こんばんは〜 / A", None, None),
+    ("T", "休憩", "1:02 T / A", "activity_as_artist", None),
+    ("T", "", "10月3日 T 予約期間 9/12", None, "explicit_schedule_or_promotion"),
+    ("T", "A", "T 予約期間 x / A", None, None),
+    ("T", "", "1:02 【第3章】", None, "bracketed_numeric_marker"),
+    ("12", "", "1:02 T / A", None, "bare_numeric_chapter_marker"),
+    ("T", "A", "1:02", None, "raw_empty"),
+    (None, None, None, None, None),
+)
+
+
+def either_sql(i: int) -> str:
+    return f"CASE p_partkey % {len(ENTRIES)} " + " ".join(f"WHEN {k} THEN '{x[i]}'" for k, x in enumerate(ENTRIES) if x[i] is not None) + " END"
+
+
+@q("entry_rules", f"SELECT p_partkey, {either_sql(3)} AS entry, {either_sql(4)} AS line FROM part")
+def entry_rules(spark: SparkSession, d: str) -> DataFrame:
+    """The first rule over title, artist and raw line; lines parsed again before they count as noise."""
+    parsed = table(spark, d, "part").select("p_partkey", *(F.when(F.col("p_partkey") % len(ENTRIES) < len(ENTRIES) - 1, forms([x[i] or "" for x in ENTRIES])).alias(c) for i, c in enumerate(("title", "artist", "raw"))))
+    return nonsong.with_reasons(parsed).select("p_partkey", "entry", "line")
