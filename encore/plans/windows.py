@@ -156,16 +156,22 @@ def page_offset(spark: SparkSession, d: str) -> DataFrame:
 
 @q("clamped_page", f"WITH r AS (SELECT song, n, ROW_NUMBER() OVER (ORDER BY n DESC, song)::BIGINT AS rank, COUNT(*) OVER () AS total FROM {SONGS}) SELECT song, rank FROM r WHERE rank > (GREATEST(1, CEIL(total / 50.0)) - 1) * 50")
 def clamped_page(spark: SparkSession, d: str) -> DataFrame:
-    """A page past the end is the last."""
-    return page(songs(spark, d), 999, 50).select("song", "rank")
+    """A page past the end is the last, however many there are."""
+    return page(songs(spark, d), 2**62, 50).select("song", "rank")
 
 
 def page(ranked: DataFrame, number: int, size: int) -> DataFrame:
+    """Page ``number``, or the nearest there is. Its rows are cut by top-k from the nearer end."""
     total = ranked.count()
-    last = max(1, -(-total // size))
-    number = min(max(1, number), last)
-    rows = ranked.orderBy(F.desc("n"), "song").limit(number * size)
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "song")).cast("bigint")).where(F.col("rank") > (number - 1) * size)
+    number = min(max(1, number), max(1, -(-total // size)))
+    first, last = (number - 1) * size, min(number * size, total)
+    down, up = [F.desc("n"), F.asc_nulls_last("song")], [F.asc("n"), F.desc_nulls_first("song")]
+    at = lambda order: F.row_number().over(Window.orderBy(*order)).cast("bigint")
+    if last <= total - first:
+        rows = ranked.orderBy(*down).limit(last).withColumn("rank", at(down))
+    else:
+        rows = ranked.orderBy(*up).limit(total - first).withColumn("rank", F.lit(total + 1) - at(up))
+    return rows.where(F.col("rank").between(first + 1, last))
 
 
 def _group_paging(o: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 import datetime
 
+import duckdb
 import pytest
 
-from encore.plans import catalog, incremental
+from encore.plans import catalog, incremental, windows
 
 LINE = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
 DAY = datetime.datetime(2024, 1, 1)
@@ -66,6 +67,26 @@ def test_pages_of_all_songs(spark, tmp_path):
     assert result(spark, str(tmp_path), "group_paging") == [(v, 900 + v, 1) for v in range(20, 40)]
 
 
+@pytest.mark.parametrize("songs", [50_001, 50_050])
+def test_clamped_page_is_the_last(spark, tmp_path, songs):
+    rows = spark.range(songs).selectExpr("id AS l_orderkey", "nullif(id, 7) AS l_partkey", "1L AS l_suppkey", "1 AS l_linenumber", "5D AS l_quantity", "'R' AS l_returnflag", "'O' AS l_linestatus", "timestamp_ntz'2024-01-01' AS l_shipdate")
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = catalog.queries()["clamped_page"](spark, str(tmp_path)).collect()
+    assert len(got) == (songs - 1) % 50 + 1 and {tuple(r) for r in got} == set(con.execute(catalog.oracle_sql()["clamped_page"]).fetchall())
+
+
+@pytest.mark.parametrize("total", [0, 1, 7, 8])
+def test_every_page(spark, total):
+    ranked = spark.createDataFrame([(x, 5 - x % 3) for x in range(total)], "song long, n long")
+    order = sorted(range(total), key=lambda x: (x % 3 - 5, x))
+    for number in (-1, 0, 1, 2, 3, 99):
+        first = (min(max(number, 1), max(1, -(-total // 4))) - 1) * 4
+        got = windows.page(ranked, number, 4).collect()
+        assert sorted((r["rank"], r.song) for r in got) == [(first + i + 1, x) for i, x in enumerate(order[first : first + 4])]
+
+
 def test_every_document_has_a_flag(spark, tmp_path):
     docs = [(1, "benchmarks", "de", 10), (2, "something " * 400, "en", 4000), (3, "short", "en", 5), (4, None, "fr", 0)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
