@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import types
 import time
 import zlib
 
@@ -396,6 +397,69 @@ def test_search_shard_blocks(tmp_path, monkeypatch, dense):
         assert best[q][best[q] > 0] == pytest.approx([-s for s, _ in want], abs=2e-6)
 
 
+def test_search_sums_in_bounded_space(monkeypatch):
+    """Postings of pairs of a term and a query add up in a buffer of a few of them as in one."""
+    monkeypatch.setattr(search, "_space", [np.empty(13, np.int64), np.empty(13)])
+    rng = np.random.default_rng(2)
+    sizes = np.sort(rng.integers(1, 8, 20))
+    starts = np.concatenate(([0], np.cumsum(sizes))) + 5
+    shard = types.SimpleNamespace(place=rng.integers(0, 9, starts[-1]))
+    value, at, rows = rng.random(starts[-1]), np.sort(rng.integers(0, 20, 60)), rng.integers(0, 4, 60)
+    want = np.zeros((4, 9))
+    for t, q in zip(at, rows, strict=True):
+        np.add.at(want[q], shard.place[starts[t] : starts[t + 1]], value[starts[t] : starts[t + 1]])
+    assert search.sparse_scores(shard, starts, value, at, rows, 4, 9) == pytest.approx(want)
+    assert not search.sparse_scores(shard, starts, value, at[:0], rows[:0], 4, 9).any()
+
+
+@pytest.mark.parametrize("dense", [0.0, 0.01, 9.0])
+def test_search_many_candidates(tmp_path, monkeypatch, dense):
+    """Blocks of many documents above the threshold, copies and rows of null id among the best; several groups."""
+    monkeypatch.setattr(search, "BLOCK", 64)
+    monkeypatch.setattr(search, "DENSE", dense)
+    monkeypatch.setattr(search, "PAIRS", 7)
+    rng = np.random.default_rng(6)
+    vocabulary = np.sort(rng.integers(0, 2**64, 80, dtype=np.uint64))
+    texts = [vocabulary[np.minimum(rng.zipf(1.3, rng.integers(1, 50)), 80) - 1] for _ in range(200)]
+    texts[50:90] = [texts[3]] * 40
+    mean = float(np.mean([len(t) for t in texts]))
+    builder = search.ShardBuilder()
+    for k, t in enumerate(texts):
+        builder.add([None if k % 9 == 4 else 500 - k], t, np.array([0, len(t)]))
+    np.savez(tmp_path / "0.npz", **{k: v for k, v in builder.arrays().items() if k != "df"})
+    shard = search.Shard(f"file://{tmp_path}/0.npz", mean)
+    df = collections.Counter(int(t) for x in texts for t in np.unique(x))
+    counts = [collections.Counter(x.tolist()) for x in texts]
+    for asked in ([3, 10, 11], list(range(0, 200, 7))):
+        pairs = sorted((int(t), q) for q, k in enumerate(asked) for t in np.unique(texts[k]))
+        term, which = np.unique(np.array([t for t, _ in pairs], np.uint64), return_inverse=True)
+        weight = np.array([math.log1p((200 - df[t] + 0.5) / (df[t] + 0.5)) for t, _ in pairs])
+        best, found = np.zeros((len(asked), 3)), np.full((len(asked), 3), np.iinfo(np.int64).max)
+        search.search_shard(shard, np.array([q for _, q in pairs]), term, which, weight, best, found, 3)
+        for q, own in enumerate(asked):
+            want = []
+            for k, c in enumerate(counts):
+                score = round(sum(math.log1p((200 - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * len(texts[k]) / mean)) for t in counts[own] if t in c), 6)
+                if score > 0 and k % 9 != 4:
+                    want.append((-score, 500 - k))
+            assert found[q].tolist() == [k for _, k in sorted(want)[:3]]
+            assert best[q] == pytest.approx([-s for s, _ in sorted(want)[:3]], abs=2e-6)
+
+
+@pytest.mark.parametrize("together", [1, 2])
+def test_search_bundles_of_groups(spark, monkeypatch, together):
+    """A task reads its shards once for several groups; the result is that of one group."""
+    rng = random.Random(9)
+    table = [(i, prose(rng.randint(1, 60), i % 50)) for i in range(100)]
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(4).localCheckpoint()
+    want = {tuple(r) for r in search.top_k(df, df.where("doc_id % 5 = 0"), k=3).collect()}
+    monkeypatch.setattr(search, "SHARDS", 2)
+    monkeypatch.setattr(search, "QUERIES", 4)
+    monkeypatch.setattr(search, "TOGETHER", together)
+    got = search.top_k(df, df.where("doc_id % 5 = 0"), k=3).collect()
+    assert len(got) == len(want) == 60 and {tuple(r) for r in got} == want
+
+
 def test_search_empty(spark):
     df = spark.createDataFrame([(1, "!")], "doc_id long, text string")
     assert search.top_k(df, df).count() == 0 and search.top_k(df.limit(0), df).count() == 0
